@@ -103,5 +103,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(df: DataFrame, n: int, columns: list, key: str = "doc_id", seed: int = 17) -> list:
-    """At most n rows, those of the smallest hash of key: spread over the table and alike at each run."""
-    return df.select(*columns, F.xxhash64(F.col(key), F.lit(seed)).alias("__o")).orderBy("__o", *[c for c in columns if isinstance(c, str)][:1]).limit(n).drop("__o").collect()
+    """At most n rows, those of the smallest hash of key: spread over the table and alike at each run.
+
+    A first pass over the key alone finds the hash to stop at, so that texts of
+    the sample only are sent to the driver.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    top = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
+    return df.where(h <= F.lit(top)).select(*columns).limit(n).collect() if top is not None else []
