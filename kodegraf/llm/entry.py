@@ -6,17 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kodegraf.llm import quality_rules
-from kodegraf.llm.common import documents
+from kodegraf.llm import bagminhash, quality_classifier, quality_rules, token_counts, toxicity
+from kodegraf.llm.common import documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op2_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_bagminhash_near_duplicates": op2_bagminhash_near_duplicates,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_token_counts": op4_token_counts,
+        "op7_toxicity": op7_toxicity,
     }
 
 
