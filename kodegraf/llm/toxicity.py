@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic rows (P) and unlabelled texts (U) train linear classifiers over
-word presence (words and their beginnings). With the class prior pi the risk is
+word rates (words and their beginnings). With the class prior pi the risk is
 
     pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)),
 
 and where the corrected part falls below zero the step goes the other way, as
 the non-negative estimator asks. Words enter if they are frequent enough and
-their share in P differs from their share in U by a few standard errors. Three
+their share of texts in P is twice that in U and a few standard errors above. Three
 classifiers on different halves of U are averaged.
 
 Only labels outside the held-out fold are read, and of these the toxic rows plus
@@ -21,6 +21,7 @@ row. Repeated rows get a row each. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,8 @@ UNLABELLED_ROWS = 4000
 MOST_FEATURES = 2000
 LEAST_DOCS = 4
 LEAST_Z = 5.0
+LEAST_LIFT = 2.0
+MOST_RATE = 3.0
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (4, 5, 6, 7)
 _CACHE_MAX = 400_000
@@ -56,13 +59,16 @@ class Model:
             return np.full(len(texts), self.constant)
         z, seen = np.empty(len(texts)), {}
         for i, text in enumerate(texts):
-            words = set(WORD.findall(text.lower()))
+            words = Counter(WORD.findall(text.lower()))
             if len(seen) > _CACHE_MAX:
                 seen.clear()
-            for w in words.difference(seen):
+            for w in words.keys() - seen.keys():
                 seen[w] = tuple(self.at[f] for f in features(w) if f in self.at)
-            columns = sorted({c for w in words for c in seen[w]})
-            z[i] = (self.offsets + self.weights[:, columns].sum(axis=1)).mean()
+            x = np.zeros(self.weights.shape[1])
+            for w, n in words.items():
+                for c in seen[w]:
+                    x[c] += n
+            z[i] = (self.offsets + self.weights @ rate(x, words.total())).mean()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -71,14 +77,24 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(word, 1), *(xxhash.xxh64_intdigest(word[:n], 2) for n in PREFIXES if n < len(word))]
 
 
-def presence(text: str) -> np.ndarray:
-    return np.array(sorted({f for w in set(WORD.findall(text.lower())) for f in features(w)}), np.uint64)
+def rate(count: np.ndarray, n_words: int) -> np.ndarray:
+    """Occurrences in a hundred words, at most MOST_RATE."""
+    return np.minimum(MOST_RATE, 100.0 * count / max(1, n_words))
 
 
-def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+def rates(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text, sorted, and their rates."""
+    words = Counter(WORD.findall(text.lower()))
+    pairs = [(f, n) for w, n in words.items() for f in features(w)]
+    own, at = np.unique(np.array([f for f, _ in pairs], np.uint64), return_inverse=True)
+    return own, rate(np.bincount(at, weights=[n for _, n in pairs], minlength=len(own)), words.total()).astype(np.float32)
+
+
+def _matrix(rows: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, r in enumerate(rows):
-        x[i] = np.isin(chosen, r, assume_unique=True)
+    for i, (own, r) in enumerate(rows):
+        _, a, b = np.intersect1d(own, chosen, assume_unique=True, return_indices=True)
+        x[i, b] = r[a]
     return x
 
 
@@ -103,15 +119,17 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, decay: fl
 def fit(positive: list[str], unlabelled: list[str], prior: float, models: int = 3) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, np.zeros((1, 0)), np.zeros(1), float(min(max(prior, 0.0), 1.0)))
-    ps, us = [presence(t) for t in positive], [presence(t) for t in unlabelled]
+    ps, us = [rates(t) for t in positive], [rates(t) for t in unlabelled]
     n, k = len(ps), len(us)
-    every, counts = np.unique(np.concatenate(ps + us), return_counts=True)
+    every, counts = np.unique(np.concatenate([f for f, _ in ps + us]), return_counts=True)
     every, counts = every[counts >= LEAST_DOCS], counts[counts >= LEAST_DOCS]
-    own, of = np.unique(np.concatenate(ps), return_counts=True)
+    own, of = np.unique(np.concatenate([f for f, _ in ps]), return_counts=True)
     in_p = np.zeros(len(every))
     in_p[np.isin(every, own)] = of[np.isin(own, every)]
     share = (counts + 1) / (n + k + 2)
-    z = np.abs(in_p / n - (counts - in_p) / k) / np.sqrt(share * (1 - share) * (1 / n + 1 / k))
+    in_u = counts - in_p
+    z = (in_p / n - in_u / k) / np.sqrt(share * (1 - share) * (1 / n + 1 / k))
+    z[in_p / n < LEAST_LIFT * in_u / k] = 0
     # At most MOST_FEATURES, the clearest first: bounds the model that is broadcast.
     chosen = np.sort(every[(order := np.argsort(-z, kind="stable")[:MOST_FEATURES])[z[order] >= LEAST_Z]])
     p, u = _matrix(ps, chosen), _matrix(us, chosen)
