@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kodegraf.llm import bagminhash, quality_classifier, quality_rules, token_counts, toxicity
+from kodegraf.llm import bagminhash, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
 from kodegraf.llm.common import documents, table
 
 
@@ -30,6 +30,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -37,6 +45,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_token_counts": op4_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_pattern_packing": op8_pattern_packing,
+        "op9_source_mixing": op9_source_mixing,
     }
 
 
