@@ -62,8 +62,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
     before, after, every = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     w = w.withColumn("level", (F.sum("source_size").over(every) * F.lit(SHARE) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    fair = F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(every)
-    return w.withColumn("target", F.least("cap", F.coalesce(fair * F.col("weight"), F.col("cap")))).drop("cap", "level")
+    # The level rises while the sources before are rightly capped, and falls after.
+    fair = F.max("level").over(every)
+    return w.withColumn("target", F.least(F.col("cap"), fair * F.col("weight"))).drop("cap", "level")
 
 
 def permuted(x: Column, n: Column, key: Column) -> Column:
