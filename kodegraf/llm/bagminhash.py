@@ -17,10 +17,13 @@ The plan, none of which gathers a group in one task or the driver:
 1. one pass over the texts makes digests and band keys;
 2. texts of equal words collapse to one node, by a map-side combined aggregate;
 3. in a bucket of a band every node is paired with leaders of the bucket only
-   (three rounds: the node with most company in its buckets leads, later the
-   next ones), each pair is verified on whole texts and joins its classes;
-4. then all remaining pairs of a bucket that lie in different classes are
-   verified, so that no link which a band proposes is lost;
+   (two rounds: the node with most company in its buckets leads, then the next
+   one), each pair is verified on whole texts and joins its classes;
+4. then all pairs of a bucket that lie in different classes and can reach the
+   similarity are verified, so that no link which a band proposes is lost. What
+   two texts can reach is bounded by their weights and by how much of each text
+   occurs in any other open text: a bound that keeps heavily edited copies of
+   one text from being paired with each other;
 5. classes are merged by distributed minimum-label rounds.
 
 Edge cases: null and empty texts, and such of white space only, have no window
@@ -48,7 +51,7 @@ ROWS = 4
 REGISTERS = BANDS * ROWS
 #: similarity of 4/5, kept as a fraction so that the test is exact
 NUM, DEN = 4, 5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
 
@@ -216,15 +219,33 @@ def _verify():
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose whole texts reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = saved(texts, "near-texts")
-    two = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").join(texts.withColumnRenamed("id", "a"), "a").select("a", "text", "b", "tb")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose whole texts reach the similarity. Merge joins at every size: texts are never broadcast."""
+    two = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}).hint("merge"), "b").join(texts.withColumnRenamed("id", "a").hint("merge"), "a").select("a", "text", "b", "tb")
     return map_texts(two, _verify, "a long, b long, both long, all long", ["a", "text", "b", "tb"]).where(DEN * F.col("both") >= NUM * F.col("all")).select("a", "b")
 
 
+def _own_windows(it):
+    for b in it:
+        ids, raws = b.column("id").to_numpy(zero_copy_only=False), [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+        for i in range(0, len(raws), 64):
+            part = bags_of(raws[i : i + 64])
+            if part:
+                n = [len(h) for h, _ in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 64], n)), pa.array(np.concatenate([h for h, _ in part]).astype(np.int64)), pa.array(np.concatenate([c for _, c in part]).astype(np.int64))], names=["id", "h", "c"])
+
+
+def shared_weight(texts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc_id, u): the windows of each text, with multiplicity, that another text has too.
+
+    No overlap with any other of these texts can exceed u. A window of one text
+    only is a group of one row, so that no window is joined back to its texts.
+    """
+    rows = texts.mapInArrow(_own_windows, "id long, h long, c long")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("c").alias("c")).where("n = 1").groupBy("id").agg(F.sum("c").alias("own"))
+    return weights.join(alone, weights.doc_id == alone.id, "left").select("doc_id", (F.col("w") - F.coalesce("own", F.lit(0))).alias("u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each component, by minimum labels over neighbours and label jumps."""
     e = saved(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
@@ -249,33 +270,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(words.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "w", "bands")).alias("m")).select("d1", "d2", "m.*"), "nodes")
     bucket = nodes.select("doc_id", "w", F.posexplode("bands").alias("band", "key"))
     crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    company = saved(bucket.join(crowd, ["band", "key"]).select("band", "key", "n", "doc_id", "w"), "company")
+    company = bucket.join(crowd, ["band", "key"]).select("band", "key", "n", "doc_id", "w")
     rank = company.groupBy("doc_id").agg(F.sum("n").alias("company"))
     company = saved(company.join(rank, "doc_id").select("band", "key", "doc_id", "w", "company"), "company")
+    # The only pass over all texts but the first; a merge join at every size.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = saved(texts.join(rank.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
 
-    labels = company.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).distinct()
-    links: list[DataFrame] = []
-    used = None
+    at = company.select("*", F.col("doc_id").alias("label"), F.col("w").alias("u"))
+    labels, links, used = None, [], None
     for turn in range(LEADER_ROUNDS + 1):
-        at = company if not links else company.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "w", "company", F.coalesce("label", "doc_id").alias("label"))
-        if links:
+        if turn:
+            at = company.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
             mixed = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
             at = saved(at.join(mixed, ["band", "key"], "left_semi"), "open")
-        else:
-            at = at.withColumn("label", F.col("doc_id"))
+            if turn == 1:
+                weights = saved(at.select("doc_id", "w").distinct(), "weights")
+                bound = saved(shared_weight(texts.join(weights.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi"), weights), "bounds")
+            # The similarity asks for an overlap of 4/9 of both weights, and the other text weighs 4/5 at least.
+            at = at.join(bound, "doc_id").where(DEN * F.col("u") >= NUM * F.col("w"))
         if turn < LEADER_ROUNDS:
             free = at if used is None else at.join(used, ["band", "key", "doc_id"], "left_anti")
-            lead = free.groupBy("band", "key").agg(F.max(F.struct("company", F.expr("-doc_id").alias("o"), "doc_id", "w", "label")).alias("l")).select("band", "key", F.col("l.doc_id").alias("a"), F.col("l.w").alias("wa"), F.col("l.label").alias("la"))
+            lead = free.groupBy("band", "key").agg(F.max(F.struct("company", F.expr("-doc_id").alias("o"), "doc_id", "w", "u", "label")).alias("l")).select("band", "key", F.col("l.doc_id").alias("a"), F.col("l.w").alias("wa"), F.col("l.u").alias("ua"), F.col("l.label").alias("la"))
             lead = saved(lead, "leaders")
             mine = lead.select("band", "key", F.col("a").alias("doc_id"))
             used = mine if used is None else used.unionByName(mine)
-            two = at.join(lead, ["band", "key"]).where("label <> la and doc_id <> a")
-            pairs = two.select("a", F.col("doc_id").alias("b"), "wa", F.col("w").alias("wb"))
+            rivals = F.col("label") != F.col("la")
         else:
-            other = at.select("band", "key", F.col("doc_id").alias("a"), F.col("w").alias("wa"), F.col("label").alias("la"))
-            pairs = other.join(at, ["band", "key"]).where((F.col("la") < F.col("label")) & (DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w"))).select("a", F.col("doc_id").alias("b"), "wa", F.col("w").alias("wb"))
-        pairs = saved(pairs.where(DEN * F.least("wa", "wb") >= NUM * F.greatest("wa", "wb")).select("a", "b").distinct(), "pairs")
-        links.append(saved(verified(pairs, docs), "links"))
+            lead = at.select("band", "key", F.col("doc_id").alias("a"), F.col("w").alias("wa"), F.col("u").alias("ua"), F.col("label").alias("la"))
+            rivals = F.col("la") < F.col("label")
+        possible = (DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w")) & ((NUM + DEN) * F.least("ua", "u") >= NUM * (F.col("wa") + F.col("w")))
+        pairs = lead.join(at, ["band", "key"]).where(rivals & possible).select("a", F.col("doc_id").alias("b")).distinct()
+        links.append(saved(verified(saved(pairs, "pairs"), texts), "links"))
         labels = components(reduce(DataFrame.unionByName, links))
 
     classed = nodes.join(labels, nodes.doc_id == labels.id, "left").select("d1", "d2", F.coalesce("label", "doc_id").alias("class_id"))

@@ -27,6 +27,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,3 +214,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id") == 0).alias("held_out"), F.col("text").cast("string").alias("text")]
     return map_texts(docs, make, "doc_id long, held_out boolean, score double, predicted int", cols)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs that score at least `cut`, all columns as they were."""
+    rows = labelled_sample(docs, labels, "quality", TRAIN_ROWS).collect()
+    model = docs.sparkSession.sparkContext.broadcast(fit([r.text or "" for r in rows], [r.y for r in rows]))
+
+    @F.pandas_udf("boolean")
+    def good(texts):
+        return pd.Series(model.value.scores(texts.fillna("").tolist()) >= cut)
+
+    return docs.where(good(F.col("text").cast("string")))
