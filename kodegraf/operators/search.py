@@ -92,7 +92,11 @@ def ranked(scored: DataFrame, limit: int, order: tuple[str, ...] = ("namespace",
 def answerable(docs: DataFrame, terms: list[str]) -> DataFrame:
     """namespace, n_terms_found, can_answer: whether half of the terms occur in some reason."""
     toks = docs.withColumn("__t", tk.fields(F.col("content")))
-    has = [F.bool_or(F.exists("__t", lambda x, t=t: F.startswith(x, F.lit(t)) if tk.matches_by_prefix(t) else x == t)).cast("int") for t in terms]
+
+    def has_term(t: str) -> Column:
+        return F.bool_or(F.exists("__t", lambda x: F.startswith(x, F.lit(t)) if tk.matches_by_prefix(t) else x == t)).cast("int")
+
+    has = [has_term(t) for t in terms]
     found = reduce(Column.__add__, has)
     return toks.groupBy("namespace").agg(found.cast("long").alias("n_terms_found")).withColumn("can_answer", 2 * F.col("n_terms_found") >= len(terms))
 
@@ -155,7 +159,7 @@ def name_scores(pool: DataFrame, query: str) -> DataFrame:
         return max(whole, sum(each) / len(each) if each and max(each) >= 0.5 else 0.0)
 
     @F.pandas_udf("double")
-    def score(name: pd.Series, qualified: pd.Series) -> pd.Series:
+    def score(name, qualified):
         def one(n, q):
             segs = [s for s in (q or "").replace("::", ".").split(".") if s]
             got = [like(n or ""), like(segs[-1]) if segs else 0.0]
