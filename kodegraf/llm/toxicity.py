@@ -42,33 +42,38 @@ LEAST_LIFT = 2.0
 MOST_RATE = 3.0
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (4, 5, 6, 7)
-_CACHE_MAX = 400_000
 CUT = 0.5
 WORD = re.compile(r"\w+")
 
 
 @dataclass
 class Model:
-    at: dict[int, int]  # feature to column
-    weights: np.ndarray  # classifiers x features
+    words: dict[str, int]  # to columns
+    heads: dict[str, int]  # beginnings of longer words, to columns
+    weights: np.ndarray  # classifiers x columns
     offsets: np.ndarray
     constant: float | None = None
 
+    def __post_init__(self):
+        #: First characters of all features: other words are passed over at once.
+        self.starts = frozenset(f[: PREFIXES[0]] for f in (*self.words, *self.heads))
+
+    def columns(self, word: str) -> list[int]:
+        own = [self.words[word]] if word in self.words else []
+        return own + [self.heads[h] for n in PREFIXES if n < len(word) and (h := word[:n]) in self.heads]
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        z, seen = np.empty(len(texts)), {}
+        z, k, starts = np.full(len(texts), self.offsets.mean()), PREFIXES[0], self.starts
+        weight = self.weights.mean(axis=0)
         for i, text in enumerate(texts):
-            words = Counter(WORD.findall(text.lower()))
-            if len(seen) > _CACHE_MAX:
-                seen.clear()
-            for w in words.keys() - seen.keys():
-                seen[w] = tuple(self.at[f] for f in features(w) if f in self.at)
-            x = np.zeros(self.weights.shape[1])
-            for w, n in words.items():
-                for c in seen[w]:
-                    x[c] += n
-            z[i] = (self.offsets + self.weights @ rate(x, words.total())).mean()
+            words = WORD.findall(text.lower())
+            hits = [w for w in words if w[:k] in starts]
+            if hits:
+                count = Counter(c for w in hits for c in self.columns(w))
+                at = sorted(count)
+                z[i] += float(weight[at] @ rate(np.array([count[c] for c in at], float), len(words)))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -118,7 +123,7 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, decay: fl
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, models: int = 3) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model({}, np.zeros((1, 0)), np.zeros(1), float(min(max(prior, 0.0), 1.0)))
+        return Model({}, {}, np.zeros((1, 0)), np.zeros(1), float(min(max(prior, 0.0), 1.0)))
     ps, us = [rates(t) for t in positive], [rates(t) for t in unlabelled]
     n, k = len(ps), len(us)
     every, counts = np.unique(np.concatenate([f for f, _ in ps + us]), return_counts=True)
@@ -135,7 +140,14 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, models: int =
     p, u = _matrix(ps, chosen), _matrix(us, chosen)
     rng = np.random.default_rng(5)
     fits = [nnpu(p, u[rng.permutation(k)[: max(1, (k + 1) // 2)]], prior) for _ in range(models)]
-    return Model({int(f): i for i, f in enumerate(chosen)}, np.stack([w for w, _ in fits]), np.array([b for _, b in fits]))
+    at = {int(f): i for i, f in enumerate(chosen)}
+    words, heads = {}, {}
+    for w in {w for t in (*positive, *unlabelled) for w in WORD.findall(t.lower())}:
+        own, *begins = features(w)
+        if own in at:
+            words[w] = at[own]
+        heads |= {w[:n]: at[f] for n, f in zip(PREFIXES, begins) if f in at}
+    return Model(words, heads, np.stack([w for w, _ in fits]), np.array([b for _, b in fits]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
