@@ -16,9 +16,9 @@ The plan, none of which gathers a group in one task or the driver:
 
 1. one pass over the texts makes digests and band keys;
 2. texts of equal words collapse to one node, by a map-side combined aggregate;
-3. in a bucket of a band every node is paired with leaders of the bucket only
-   (two rounds: the node with most company in its buckets leads, then the next
-   one), each pair is verified on whole texts and joins its classes;
+3. in three rounds every node is paired with the leader of its largest bucket
+   (the node with most company in its buckets leads, then the next ones), each
+   pair is verified on whole texts and joins its classes;
 4. then all pairs of a bucket that lie in different classes and can reach the
    similarity are verified, so that no link which a band proposes is lost. What
    two texts can reach is bounded by their weights and by how much of each text
@@ -51,7 +51,7 @@ ROWS = 4
 REGISTERS = BANDS * ROWS
 #: similarity of 4/5, kept as a fraction so that the test is exact
 NUM, DEN = 4, 5
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
 
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     company = bucket.join(crowd, ["band", "key"]).select("band", "key", "n", "doc_id", "w")
     rank = company.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    company = saved(company.join(rank, "doc_id").select("band", "key", "doc_id", "w", "company"), "company")
+    company = saved(company.join(rank, "doc_id").select("band", "key", "n", "doc_id", "w", "company"), "company")
     # The only pass over all texts but the first; a merge join at every size.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = saved(texts.join(rank.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
@@ -295,12 +295,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             lead = saved(lead, "leaders")
             mine = lead.select("band", "key", F.col("a").alias("doc_id"))
             used = mine if used is None else used.unionByName(mine)
+            # Each node meets one leader a round: that of its largest bucket.
+            side = at.groupBy("doc_id").agg(F.max(F.struct("n", "band", "key", "w", "u", "label")).alias("m")).select("doc_id", "m.*")
             rivals = F.col("label") != F.col("la")
         else:
-            lead = at.select("band", "key", F.col("doc_id").alias("a"), F.col("w").alias("wa"), F.col("u").alias("ua"), F.col("label").alias("la"))
-            rivals = F.col("la") < F.col("label")
+            # A pair shares several buckets; it is formed in the first of them.
+            side = at.join(nodes.select("doc_id", "bands"), "doc_id")
+            lead = side.select("band", "key", F.col("doc_id").alias("a"), F.col("w").alias("wa"), F.col("u").alias("ua"), F.col("label").alias("la"), F.col("bands").alias("ba"))
+            rivals = (F.col("la") < F.col("label")) & (F.array_position(F.zip_with("ba", "bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1)
         possible = (DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w")) & ((NUM + DEN) * F.least("ua", "u") >= NUM * (F.col("wa") + F.col("w")))
-        pairs = lead.join(at, ["band", "key"]).where(rivals & possible).select("a", F.col("doc_id").alias("b")).distinct()
+        pairs = lead.join(side, ["band", "key"]).where(rivals & possible).select("a", F.col("doc_id").alias("b")).distinct()
         links.append(saved(verified(saved(pairs, "pairs"), texts), "links"))
         labels = components(reduce(DataFrame.unionByName, links))
 
