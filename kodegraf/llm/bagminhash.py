@@ -27,8 +27,8 @@ The plan, none of which gathers a group in one task or the driver:
 5. classes are merged by distributed minimum-label rounds.
 
 Edge cases: null and empty texts, and such of white space only, have no window
-and form classes of their own, one per row. Rows that share a doc_id count as
-one document. An empty table gives no rows.
+and form classes of their own, one per row; so do rows without a doc_id. Rows
+that share a doc_id count as one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     The table of sketches, verified links and labels go to the shared folder.
     """
     sk = saved(sketches(docs), "sketches")
-    words = sk.where("w > 0")
+    words = sk.where("w > 0 and doc_id is not null")
     nodes = saved(words.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "w", "bands")).alias("m")).select("d1", "d2", "m.*"), "nodes")
     bucket = nodes.select("doc_id", "w", F.posexplode("bands").alias("band", "key"))
     crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -312,11 +312,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = words.select("doc_id", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "class_id")
     sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
     full = rows.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    bare = sk.where("w = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return full.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    bare = sk.where("w = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates() keeps: one of each class, all columns as they were."""
     keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    return docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -20,8 +20,8 @@ laid out through hash buckets with summed offsets, and slots by shard, so that
 no source is handled in one task.
 
 Edge cases: null texts and texts without words have size 0 and nothing is taken
-of them; a null source is a source of its own; repeated rows are rows of their
-own; an empty table gives no rows.
+of them; a null source is a source of its own; repeated rows, and rows
+without a doc_id, are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     got = rows.where("size > 0").join(runs, ["sid", "start"]).select(F.col("doc_id").alias("__id"), F.col("occ").alias("__occ"), F.col("size").alias("__size"), F.col("runs").alias("__runs"), F.col("all").alias("__all"))
     order = Window.partitionBy("__doc").orderBy("__size", F.col("source").cast("string").asc_nulls_last(), F.xxhash64("text"))
     held = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__size", word_count(F.col("text"))).withColumn("__no", F.row_number().over(order)).drop("__size")
-    both = held.join(got, (F.col("__doc") == F.col("__id")) & (F.col("__no") == F.col("__occ")))
+    both = held.join(got, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__no") == F.col("__occ")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
     text = F.when(F.col("__all") == F.col("__size"), F.col("text")).otherwise(cut)

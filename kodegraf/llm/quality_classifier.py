@@ -212,7 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return run
 
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id") == 0).alias("held_out"), F.col("text").cast("string").alias("text")]
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_fold("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")]
     return map_texts(docs, make, "doc_id long, held_out boolean, score double, predicted int", cols)
 
 

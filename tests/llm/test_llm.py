@@ -400,6 +400,23 @@ def test_permutations_are_permutations(spark):
         assert sorted(got) == list(range(n))
 
 
+@pytest.mark.parametrize("what", ["rules", "near", "kept", "quality", "tokens", "secrets", "toxic", "packed", "mix", "mixed", "personal", "redacted"])
+def test_rows_of_nulls_keep_their_place(spark, what):
+    text = prose(random.Random(1), 70)
+    docs = spark.createDataFrame([(None, text, None, None, None), (None, None, None, None, None), (5, text, None, None, None), (None, text, None, "a", 3)], DOCS)
+    labels = spark.createDataFrame([(5, 1, None), (None, None, 1)], "doc_id long, quality int, toxic int")
+    run = {
+        "rules": quality_rules.quality_rules, "near": bagminhash.near_duplicates, "kept": bagminhash.kept_documents, "quality": lambda d: quality_classifier.quality_scores(d, labels),
+        "tokens": token_counts.token_counts, "secrets": secret_scan.secrets, "toxic": lambda d: toxicity.toxicity_scores(d, labels), "packed": packing.packed,
+        "mix": mixing.mix_report, "mixed": mixing.mixed_documents, "personal": pii.personal_data, "redacted": pii.redacted,
+    }[what]
+    got = run(docs).toPandas()
+    if what == "mixed":
+        assert got.text.str.split().str.len().sum() >= 1.5 * 210 - 4 * mixing.BLOCK
+    else:
+        assert len(got) == 4
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
