@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kodegraf.functions import annotations as ann
 from kodegraf.functions import tokens as tk
-from kodegraf.operators import changes, quality, relations, resolve, scans, search, stats, traverse, tree
+from kodegraf.operators import changes, quality, relations, resolve, scans, search, stats, store, traverse, tree
 from kodegraf.schema import DEFAULT_NAMESPACE, LINK_SCHEME
 from kodegraf.sources import code
+from kodegraf.sources.work import saved
 
-TABLES = ("nodes", "edges", "tags", "documents", "reasons", "cross_refs", "flows", "flow_members")
+#: Columns of the stored tables beside the namespace, which is a folder.
+TABLES = {
+    "nodes": "node_id LONG, kind STRING, name STRING, qualified_name STRING, file_path STRING, start_line INT, end_line INT, hash STRING, language STRING",
+    "edges": "from_node_id LONG, to_node_id LONG, kind STRING, file_path STRING, line INT, fingerprint STRING, source_text STRING, target_text STRING",
+    "tags": "node_id LONG, summary STRING, kind STRING, type STRING, name STRING, value STRING, ordinal INT",
+    "documents": "node_id LONG, content STRING",
+    "reasons": "node_id LONG, content STRING",
+    "flows": "flow_id LONG, name STRING",
+    "flow_members": "flow_id LONG, node_id LONG, ordinal LONG",
+}
 
 
 class NotFound(LookupError):
@@ -25,25 +37,54 @@ class Engine:
         self.spark, self.root = spark, root.rstrip("/")
 
     def table(self, name: str, namespaces: list[str] | None = None) -> DataFrame:
-        return scans.in_namespaces(self.spark.read.parquet(f"{self.root}/{name}"), namespaces)
+        reader = self.spark.read.schema(f"{TABLES[name]}, namespace STRING") if name in TABLES else self.spark.read
+        return scans.in_namespaces(reader.parquet(f"{self.root}/{name}"), namespaces)
 
     # --- building ------------------------------------------------------------------
 
     def parse_project(self, path: str, namespace: str = DEFAULT_NAMESPACE, includes: list[str] = (), excludes: list[str] = (), fallback_calls: bool = False, max_file_bytes: int = 0, max_total_bytes: int = 0) -> dict:
         """Parse a source tree and write its nodes, edges and tags. Node ids are hashes of namespace, name, file and line."""
-        from kodegraf.sources.work import saved
+        files = code.read_tree(self.spark, path, includes, excludes, max_file_bytes, max_total_bytes)
+        return self._store(saved(code.parsed(files), "records"), namespace, fallback_calls)
 
-        records = saved(code.parsed(code.read_tree(self.spark, path, includes, excludes, max_file_bytes, max_total_bytes)), "records")
+    def _store(self, records: DataFrame, namespace: str, fallback: bool, nodes: DataFrame | None = None, edges: DataFrame | None = None, tags: DataFrame | None = None) -> dict:
+        """Write the records' nodes, edges and tags beside the given ones, which stay."""
         ns = F.lit(namespace).alias("namespace")
         node = records.where("rec = 'node'").select(F.xxhash64(F.lit(namespace), "qualified_name", "file_path", "start_line").alias("node_id"), ns, "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "hash", "language")
-        nodes = saved(node.dropDuplicates(["node_id"]), "nodes")
-        edges = saved(self._edges(records, nodes, namespace, fallback_calls), "edges")
-        tags = saved(self._tags(records, nodes, namespace), "tags")
+        beside = lambda new, old: new if old is None else new.unionByName(old.select(*new.columns))
+        nodes = saved(beside(node.dropDuplicates(["node_id"]), nodes), "nodes")
+        edges = saved(beside(self._edges(records, nodes, namespace, fallback), edges), "edges")
+        tags = saved(beside(self._tags(records, nodes, namespace), tags), "tags")
         for name, df in (("nodes", nodes), ("edges", edges), ("tags", tags)):
-            self._write(df, name)
+            self._write(df, name, namespace)
         lost = edges.where("from_node_id is null or to_node_id is null").count()
         return {"nodes": nodes.count(), "edges": edges.count(), "unresolved": lost}
 
+    def update(self, path: str, namespace: str = DEFAULT_NAMESPACE, includes: list[str] = (), excludes: list[str] = (), fallback_calls: bool = False) -> dict:
+        """Bring a stored namespace up to date: only added and modified files are parsed, and those unchanged ones whose edges end at changed nodes or may end at added ones."""
+        files = code.read_tree(self.spark, path, includes, excludes)
+        nodes, edges, tags = (self.table(t, [namespace]) for t in ("nodes", "edges", "tags"))
+        old = nodes.where("kind = 'file'").select("file_path", "hash")
+        state = saved(stats.classify_update(old, files.select("file_path", F.sha2("content", 256).alias("hash"))), "state")
+        counts = {r.state: r.n for r in stats.by(state, "state").collect()}
+        summary = {k: counts.get(k, 0) for k in ("added", "modified", "skipped", "deleted")}
+        if summary["skipped"] == sum(summary.values()):
+            return summary
+        fresh = state.where("state in ('added', 'modified')").select("file_path")
+        stale = state.where("state in ('modified', 'deleted')").select("file_path")
+        same = state.where("state = 'skipped'").select("file_path")
+        touched = store.force_reparse(edges.where("to_node_id is not null"), nodes.join(stale, "file_path", "left_semi"), same)
+        added = saved(code.parsed(files.join(fresh, "file_path", "left_semi")), "records")
+        names = added.where("rec = 'node'").select(F.col("name").alias("last")).distinct()
+        hoping = edges.where("to_node_id is null").withColumn("last", F.regexp_extract("target_text", r"([^.:/]+)$", 1)).join(names, "last", "left_semi").select("file_path").distinct().join(same, "file_path", "left_semi")
+        again = saved(touched.union(hoping).distinct(), "again")
+        records = saved(added.unionByName(code.parsed(files.join(again, "file_path", "left_semi"))), "records")
+        gone = stale.union(again)
+        left = nodes.join(gone, "file_path", "left_anti")
+        kept_tags = tags.join(nodes.join(gone, "file_path", "left_semi").select("node_id"), "node_id", "left_anti")
+        out = self._store(records, namespace, fallback_calls, saved(left, "left"), saved(edges.join(gone, "file_path", "left_anti"), "left"), saved(kept_tags, "left"))
+        return summary | out
+
     def _edges(self, records: DataFrame, nodes: DataFrame, namespace: str, fallback: bool) -> DataFrame:
         e = records.where("rec = 'edge'").select(F.lit(namespace).alias("namespace"), "kind", "file_path", F.col("start_line").alias("line"), F.col("name").alias("source_text"), F.col("target").alias("target_text"), F.concat_ws(":", "kind", "file_path", F.coalesce("name", F.lit("")), "target", F.col("start_line").cast("string")).alias("fingerprint")).dropDuplicates(["fingerprint"])
         around = resolve.enclosing_callable(e.select("file_path", "line"), nodes).withColumnRenamed("node_id", "enclosing")
@@ -81,20 +122,23 @@ class Engine:
         bound = above.unionByName(held).dropDuplicates(["node_id"])
         return bound.join(said, "comment_id").select(F.lit(namespace).alias("namespace"), "node_id", F.col("annotation.summary").alias("summary"), F.inline("annotation.tags"))
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(f"{self.root}/{name}")
+    def _write(self, df: DataFrame, name: str, namespace: str) -> None:
+        """The namespace's rows, also if there are none, in place of those before."""
+        if not re.fullmatch(r"[\w.-]+", namespace):
+            raise ValueError(f"not a namespace: {namespace}")
+        df.where(F.col("namespace") == namespace).drop("namespace").write.mode("overwrite").parquet(f"{self.root}/{name}/namespace={namespace}")
 
     def postprocess(self, namespace: str = DEFAULT_NAMESPACE, flows: bool = True, fts: bool = True) -> dict:
         """Rebuild flows and search documents of a namespace."""
         nodes, edges = self.table("nodes", [namespace]), self.table("edges", [namespace])
         if fts:
-            self._write(search.document_text(nodes), "documents")
-            self._write(search.reason_rows(self.table("tags", [namespace])), "reasons")
+            self._write(search.document_text(nodes), "documents", namespace)
+            self._write(search.reason_rows(self.table("tags", [namespace])), "reasons", namespace)
         if flows:
             starts = relations.flow_entrypoints(nodes, edges).select(F.col("node_id").alias("source"), "node_id")
             made, members = traverse.flow_tables(nodes, traverse.flows(edges.where("to_node_id is not null"), starts))
-            self._write(made, "flows")
-            self._write(members, "flow_members")
+            self._write(made, "flows", namespace)
+            self._write(members, "flow_members", namespace)
         return {"flows": flows, "fts": fts, "communities": 0}
 
     def build(self, path: str, namespace: str = DEFAULT_NAMESPACE, postprocess: str = "full", **options) -> dict:
@@ -216,6 +260,41 @@ class Engine:
         """Markdown of each source file, as rows of (file_path, markdown)."""
         tree.rendered_docs(self.table("nodes", [namespace])).write.mode("overwrite").parquet(out)
 
+    def get_doc_content(self, folder: str, name: str, most: int = 1 << 20) -> str:
+        """A generated document, read within its folder and up to a size."""
+        import os
+
+        full = os.path.realpath(os.path.join(folder, name))
+        if not full.startswith(os.path.realpath(folder) + os.sep) or not name.endswith(".md"):
+            raise ValueError("not a document of this folder")
+        if os.path.getsize(full) > most:
+            raise ValueError(f"larger than {most} bytes")
+        with open(full, encoding="utf-8") as f:
+            return f.read()
+
+    def report(self, kind: str, namespace: str = DEFAULT_NAMESPACE, repo_dir: str | None = None, base: str = "HEAD~1", target: str | None = None) -> str:
+        """A short text: "review" (riskiest changes), "debug" (hits and their callers), "onboard" (overview) or "merge" (changes without tests)."""
+        line = lambda r: f"- {r.qualified_name} ({r.file_path}:{r.start_line})"
+        if kind == "debug":
+            hits = self.search(target or "", 10, 0, "", [namespace]).limit(10).collect()
+            lines = [line(r) for r in hits]
+            if hits:
+                lines += ["", "Called by:", *[line(r) for r in self.query_graph("callers_of", hits[0].qualified_name, namespace, 10).collect()]]
+            return "\n".join(["Likely places:", *lines])
+        if kind == "onboard":
+            s = self.list_graph_stats([namespace]).first()
+            folders = stats.folder_children(self.table("nodes", [namespace]), "").limit(20).collect()
+            return "\n".join([f"{s.n_nodes} nodes, {s.n_edges} edges in {s.n_files} files" if s else "empty", *[f"- {r.child}: {r.n_declarations} declarations" for r in folders]])
+        if kind not in ("review", "merge"):
+            raise ValueError(f"unknown report {kind}")
+        nodes, edges = self.table("nodes", [namespace]), self.table("edges", [namespace])
+        risk = changes.top_risks(changes.diff_hunks(self.spark, repo_dir, base), nodes, edges, 20)
+        if kind == "merge":
+            tested = edges.where("kind = 'tested_by'").select(F.col("to_node_id").alias("node_id"))
+            risk = risk.where("kind in ('function', 'class')").join(tested, "node_id", "left_anti")
+        rows = risk.orderBy(F.col("risk").desc(), "file_path", "start_line").collect()
+        return "\n".join(["Riskiest changes:" if kind == "review" else "Changed without tests:", *[f"{line(r)} risk {r.risk:g}" for r in rows]])
+
     def wiki_tree(self, namespace: str = DEFAULT_NAMESPACE, depth: int | None = 2) -> list[dict]:
         """Nested folders down to a depth, for display."""
         return tree.nested([r.asDict() for r in tree.sorted_tree(tree.tree(self.table("nodes", [namespace]), depth)).collect()])
@@ -230,6 +309,42 @@ class Engine:
         return bare.unionByName(part)
 
 
+def response(rows: DataFrame, query: str, limit: int, offset: int) -> str:
+    """The JSON answer of a search: files with their hits in order, and how to go on. For a page, which is small."""
+    import json
+
+    files: dict[tuple, dict] = {}
+    for r in rows.collect():
+        f = files.setdefault((r.namespace, r.file_path), {"namespace": r.namespace, "file_path": r.file_path, "hits": []})
+        f["hits"].append({"name": r.name, "qualified_name": r.qualified_name, "kind": r.kind, "start_line": r.start_line, "matched": list(r.matched)})
+    shown = list(files.values())
+    return json.dumps({"query": query, "offset": offset, "files": shown, "next_offset": offset + len(shown) if len(shown) >= limit else None})
+
+
+class ResultCache:
+    """Answers by key for a while; the soonest to expire goes when it is full."""
+
+    def __init__(self, seconds: float = 300, most: int = 1000, clock=None):
+        import time
+
+        self.seconds, self.most, self.clock, self.held = seconds, most, clock or time.monotonic, {}
+
+    def get(self, key: str) -> str | None:
+        value, until = self.held.get(key, (None, 0))
+        if until <= self.clock():
+            self.held.pop(key, None)
+            return None
+        return value
+
+    def put(self, key: str, value: str) -> None:
+        if key not in self.held and len(self.held) >= self.most:
+            self.held.pop(min(self.held, key=lambda k: self.held[k][1]))
+        self.held[key] = (value, self.clock() + self.seconds)
+
+    def flush(self) -> None:
+        self.held.clear()
+
+
 TOOLS = {
     "impact": "get_impact_radius", "change": "detect_changes", "diff": "detect_changes", "review": "detect_changes", "flow": "trace_flow", "trace": "trace_flow", "call": "query_graph",
     "test": "query_graph", "find": "search", "where": "search", "search": "search", "doc": "describe", "folder": "describe", "stat": "list_graph_stats",

@@ -45,3 +45,20 @@ def common_suffix_depth(a: Column, b: Column) -> Column:
     """Number of equal trailing segments of two paths."""
     same = F.zip_with(F.reverse(F.split(a, "/")), F.reverse(F.split(b, "/")), lambda x, y: F.coalesce(x == y, F.lit(False)))
     return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+
+
+def split_top_level(text: str) -> list[str]:
+    """Parts between commas that stand outside of round, square and angle brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "<([") - (c in ">)]")
+        if c == "," and depth <= 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [p for p in (x.strip() for x in [*out, text[start:]]) if p]
+
+
+def clean_target(target: str) -> str:
+    """A path as it was typed: without blanks, a leading ./, doubled and outer slashes."""
+    t = re.sub(r"/+", "/", target.strip().replace("\\", "/"))
+    return re.sub(r"^(\./)+", "", t).strip("/")

@@ -818,6 +818,21 @@ def external_imports(g):
     return g.pages.select("url", resolve.external_import(F.col("url")).alias("external"))
 
 
+@query("""SELECT edge.fingerprint, split_part(fingerprint, ':', 1) AS kind, CASE WHEN starts_with(fingerprint, 'tested_by:') THEN split_part(fingerprint, ':', 4) END AS source,
+CASE WHEN starts_with(fingerprint, 'tested_by:') THEN split_part(fingerprint, ':', 3) ELSE split_part(fingerprint, ':', 3) END AS target, CASE WHEN starts_with(fingerprint, 'calls:') THEN TRY_CAST(split_part(fingerprint, ':', 4) AS INT) END AS line
+FROM {edges} edge WHERE starts_with(fingerprint, 'calls:') AND NOT starts_with(fingerprint, 'calls:p:') OR starts_with(fingerprint, 'tested_by:')""")
+def fingerprint_parts(g):
+    from kodegraf.functions import fingerprints
+
+    e = g.edges.where("fingerprint like 'calls:%' and fingerprint not like 'calls:p:%' or fingerprint like 'tested_by:%'")
+    return e.select("fingerprint", fingerprints.parse(F.col("fingerprint"), F.split_part("fingerprint", F.lit(":"), F.lit(2))).alias("p")).select("fingerprint", "p.*")
+
+
+@query("SELECT node_id, regexp_replace(replace(lower(name), ' ', '-'), '[^a-z0-9_-]', '', 'g') AS anchor FROM {nodes}")
+def markdown_anchors(g):
+    return g.nodes.select("node_id", tree.anchor(F.col("name")).alias("anchor"))
+
+
 # --- store ---------------------------------------------------------------------------
 
 

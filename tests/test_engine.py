@@ -103,6 +103,38 @@ def test_answers(engine):
     assert suggest_tools("review the diff")[0] == "detect_changes"
 
 
+def test_update_parses_what_changed(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def one():\n    later()\n\n\ndef two():\n    one()\n")
+    (src / "b.py").write_text("def gone():\n    pass\n")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.parse_project(str(src), "u", fallback_calls=True)
+    assert e.update(str(src), "u")["skipped"] == 2
+    (src / "b.py").unlink()
+    (src / "c.py").write_text("def later():\n    pass\n")
+    got = e.update(str(src), "u", fallback_calls=True)
+    assert (got["added"], got["modified"], got["skipped"], got["deleted"]) == (1, 0, 1, 1)
+    assert names(e.table("nodes", ["u"]).where("kind <> 'file'")) == ["a.one", "a.two", "c.later"]
+    calls = {(r.source, r.target) for r in e.table("edges", ["u"]).where("kind in ('calls', 'fallback_calls')").selectExpr("kind as source", "target_text as target").collect()}
+    assert calls == {("calls", "one"), ("fallback_calls", "later")}
+
+
+def test_answers_are_kept_for_a_while():
+    from kodegraf.api import ResultCache
+
+    now = [0.0]
+    c = ResultCache(10, 2, lambda: now[0])
+    c.put("a", "1")
+    now[0] = 5
+    c.put("b", "2")
+    c.put("c", "3")
+    assert (c.get("a"), c.get("b"), c.get("c")) == (None, "2", "3")
+    now[0] = 16
+    assert c.get("b") is None
+    c.flush()
+
+
 def test_structured_comments():
     a = ann.parse(ann.normalize("/**\n * Sums.\n * Both.\n *\n * More.\n * @param {int} x the first\n *   of two\n * @returns y\n */", "java"))
     assert (a["summary"], a["context"]) == ("Sums. Both.", "More.")
@@ -111,7 +143,25 @@ def test_structured_comments():
     assert ann.parse("") == {"summary": "", "context": "", "tags": []}
 
 
+def test_fingerprints_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from kodegraf.functions import fingerprints as fp
+
+    f = F.lit("a/x.go")
+    cases = {
+        "calls": (fp.build("calls", f, F.lit("b.C"), F.lit(7)), (None, "b.C", 7)), "imports": (fp.build("imports_from", f, F.lit("x:y"), F.lit(1)), (None, "x:y", 1)),
+        "contains": (fp.build("contains", f, F.lit("p.T")), (None, "p.T", None)), "implements": (fp.build("implements", f, F.lit("T"), F.lit("q::I")), ("T", "q::I", None)),
+        "inherits": (fp.build("inherits", f, F.lit("p::T"), F.lit("p::B")), ("p::T", "p::B", None)), "legacy": (F.lit("inherits:a/x.go:T:B"), ("T", "B", None)),
+        "tested": (fp.build("tested_by", f, F.lit("Run"), F.lit("p.TestRun")), ("p.TestRun", "Run", None)),
+    }
+    row = spark.range(1).select(*[fp.parse(c, f).alias(k) for k, (c, _) in cases.items()]).first()
+    assert {k: (row[k].source, row[k].target, row[k].line) for k in cases} == {k: want for k, (_, want) in cases.items()}
+
+
 def test_path_rules():
+    assert paths.split_top_level("a, Map<b, c>, f(x, y), [d,e]") == ["a", "Map<b, c>", "f(x, y)", "[d,e]"] and paths.split_top_level("") == []
+    assert paths.clean_target(" ./a//b/ ") == "a/b"
     assert paths.excluded("a/b.go", ["a"]) and paths.excluded("x/b_test.go", ["*_test.go"]) and paths.excluded("a/gen/x.go", [r".*/gen/.*"])
     assert not paths.excluded("ab/c.go", ["a"]) and not paths.excluded("a", ["("])
     assert paths.included("a", ["a/b"]) and paths.included("a/b/c", ["a/b"]) and not paths.included("c", ["a/b"])
