@@ -305,8 +305,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             rivals = (F.col("la") < F.col("label")) & (F.array_position(F.zip_with("ba", "bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1)
         possible = (DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w")) & ((NUM + DEN) * F.least("ua", "u") >= NUM * (F.col("wa") + F.col("w")))
         pairs = lead.join(side, ["band", "key"]).where(rivals & possible).select("a", F.col("doc_id").alias("b")).distinct()
-        links.append(saved(verified(saved(pairs, "pairs"), texts), "links"))
-        labels = components(reduce(DataFrame.unionByName, links))
+        pairs = saved(pairs, "pairs")
+        if labels is not None and pairs.isEmpty():
+            continue  # nothing new to verify or to merge
+        new = saved(verified(pairs, texts), "links")
+        if labels is None or not new.isEmpty():
+            links.append(new)
+            labels = components(reduce(DataFrame.unionByName, links))
 
     classed = nodes.join(labels, nodes.doc_id == labels.id, "left").select("d1", "d2", F.coalesce("label", "doc_id").alias("class_id"))
     rows = words.select("doc_id", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "class_id")
