@@ -16,9 +16,9 @@ The plan, none of which gathers a group in one task or the driver:
 
 1. one pass over the texts makes digests and band keys;
 2. texts of equal words collapse to one node, by a map-side combined aggregate;
-3. in three rounds every node is paired with the leader of its largest bucket
-   (the node with most company in its buckets leads, then the next ones), each
-   pair is verified on whole texts and joins its classes;
+3. every node is paired with the leaders of its buckets (the nodes with most
+   company in theirs), in two further rounds with the next leader of its largest
+   bucket; each pair is verified on whole texts and joins its classes;
 4. then all pairs of a bucket that lie in different classes and can reach the
    similarity are verified, so that no link which a band proposes is lost. What
    two texts can reach is bounded by their weights and by how much of each text
@@ -295,9 +295,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             lead = saved(lead, "leaders")
             mine = lead.select("band", "key", F.col("a").alias("doc_id"))
             used = mine if used is None else used.unionByName(mine)
-            # Each node meets one leader a round: that of its largest bucket.
-            side = at.groupBy("doc_id").agg(F.max(F.struct("n", "band", "key", "w", "u", "label")).alias("m")).select("doc_id", "m.*")
-            rivals = F.col("label") != F.col("la")
+            # First a node meets the leaders of all its buckets, later that of its largest one.
+            side = at if turn == 0 else at.groupBy("doc_id").agg(F.max(F.struct("n", "band", "key", "w", "u", "label")).alias("m")).select("doc_id", "m.*")
+            rivals = (F.col("label") != F.col("la")) & (F.col("doc_id") != F.col("a"))
         else:
             # A pair shares several buckets; it is formed in the first of them.
             side = at.join(nodes.select("doc_id", "bands"), "doc_id")
