@@ -440,13 +440,13 @@ def trace_flow_strict(g):
 @query(reach_sql(f"SELECT node_id FROM {{nodes}} n WHERE kind IN ('function', 'test') AND NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.to_node_id = n.node_id AND kind IN {CALLS})", CALLS, 2))
 def rebuild_flows(g):
     starts = relations.flow_entrypoints(g.nodes, g.edges).select(F.col("node_id").alias("source"), "node_id")
-    return traverse.flows(g.edges, starts, max_nodes=None, max_depth=2).select("source", "node_id", "depth")
+    return traverse.flows(g.edges, starts, max_nodes=None).select("source", "node_id", "depth")
 
 
 @query(reach_sql(f"SELECT CAST({5 * T + 99} AS BIGINT) AS node_id", "('calls', 'fallback_calls', 'cross_ref', 'inherits')", 3, "SELECT from_node_id, to_node_id, kind FROM {edges} UNION ALL SELECT from_node_id, resolved_node_id, 'cross_ref' FROM {cross_refs} WHERE status = 'resolved'"))
 def trace_cross_namespace(g):
     edges = scans.with_cross_refs(g.edges, g.cross_refs)
-    return traverse.flows(edges, _start(g, 5 * T + 99), ("calls", "fallback_calls", "cross_ref", "inherits"), max_nodes=None, max_depth=3).select("source", "node_id", "depth")
+    return traverse.flows(edges, _start(g, 5 * T + 99), ("calls", "fallback_calls", "cross_ref", "inherits"), max_nodes=None).select("source", "node_id", "depth")
 
 
 # --- tokens and search ---------------------------------------------------------------

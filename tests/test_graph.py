@@ -7,7 +7,7 @@ import pytest
 
 from kodegraf.operators import changes, quality, relations, resolve, scans, search, stats, store, traverse, tree
 from kodegraf.plans import queries as Q
-from kodegraf.sources.fixtures import Graph
+from kodegraf.sources.fixtures import Graph, T
 
 SF = "/root/testdata/sf0.001"
 NODE = "node_id long, namespace string, kind string, name string, qualified_name string, file_path string, start_line long, end_line long"
@@ -78,6 +78,33 @@ def test_flows_follow_the_order_of_the_frontier(spark):
     assert {r.source: r["count"] for r in two} == {2: 2, 5: 5}
 
 
+def brute_reach(edges, starts, kinds):
+    """(source, node_id, depth) of all that calls lead to, by breadth-first search."""
+    out = {}
+    for r in edges.where(edges.kind.isin(*kinds)).select("from_node_id", "to_node_id").distinct().collect():
+        out.setdefault(r.from_node_id, []).append(r.to_node_id)
+    found = set()
+    for s in starts:
+        at = {s: 0}
+        for n in (line := [s]):
+            for m in out.get(n, ()):
+                if m not in at:
+                    at[m] = at[n] + 1
+                    line.append(m)
+        found |= {(s, n, d) for n, d in at.items()}
+    return found
+
+
+def test_rebuilt_flows_reach_to_the_end(spark):
+    g = Graph(spark, SF)
+    called, inner = ("calls", "fallback_calls"), ("calls", "fallback_calls", "cross_ref", "inherits")
+    entries = [r.node_id for r in relations.flow_entrypoints(g.nodes, g.edges).collect()]
+    for name, edges, begin, kinds in (("rebuild_flows", g.edges, entries, called), ("trace_cross_namespace", scans.with_cross_refs(g.edges, g.cross_refs), [5 * T + 99], inner)):
+        want = brute_reach(edges, begin, kinds)
+        assert max(d for _, _, d in want) > 3
+        assert {tuple(r) for r in Q.QUERIES[name](g).collect()} == want
+
+
 def test_risk_counts_hunks_and_edges(spark):
     n = nodes(spark, (1, "function", "a", "x.go", 1, 5), (2, "function", "b", "x.go", 6, 9), (3, "file", "x.go", "x.go", 1, 100_000))
     h = spark.createDataFrame([("x.go", 2, 3), ("x.go", 5, 6), ("y.go", 1, 9)], "file_path string, start_line int, end_line int")
