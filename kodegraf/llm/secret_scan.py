@@ -135,7 +135,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         j = i + len(value)
         if any(s <= i and j <= e for s, _, e in base) or not value:
             continue
-        if guess_cost(value) >= LEAST_COST and (any(c.isdigit() for c in value) or not value.isalpha()):
+        if guess_cost(value) >= LEAST_COST:
             out.append((i, 3, j))
     return out
 

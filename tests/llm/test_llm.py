@@ -290,6 +290,13 @@ def test_secret_scan_reports_base_and_dear_values(spark, odd_texts):
     assert secret_scan.secrets(clashing(frame(spark, odd_texts)).limit(0)).count() == 0
 
 
+def test_guess_cost_alone_decides_on_letters():
+    found = lambda t: secret_scan.guessed_spans(t, secret_scan.base_spans(t))
+    assert found("pwd: hGtRkLpQzXvWmB") == [(5, 3, 19)]
+    assert found("password = qKzVwxPj") == [(11, 3, 19)]
+    assert found("pwd: placeholder and auth = changeme") == []
+
+
 def test_guess_costs_order_values():
     cost = secret_scan.guess_cost
     assert cost("password") < cost("P@ssw0rd1") < cost("qwerty12345") < cost("xK9#mQ2$vL7p")
