@@ -136,7 +136,7 @@ class Engine:
             self._write(search.reason_rows(self.table("tags", [namespace])), "reasons", namespace)
         if flows:
             starts = relations.flow_entrypoints(nodes, edges).select(F.col("node_id").alias("source"), "node_id")
-            made, members = traverse.flow_tables(nodes, traverse.flows(edges.where("to_node_id is not null"), starts))
+            made, members = traverse.flow_tables(nodes, traverse.flows(edges.where("to_node_id is not null"), starts, max_nodes=None))
             self._write(made, "flows", namespace)
             self._write(members, "flow_members", namespace)
         return {"flows": flows, "fts": fts, "communities": 0}

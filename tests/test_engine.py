@@ -120,6 +120,16 @@ def test_update_parses_what_changed(spark, tmp_path):
     assert calls == {("calls", "one"), ("fallback_calls", "later")}
 
 
+def test_stored_flows_are_whole(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("".join(f"def f{i}():\n    pass\n\n\n" for i in range(250)) + "def main():\n" + "".join(f"    f{i}()\n" for i in range(250)))
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.build(str(src), "w")["status"] == "ok"
+    assert [(r.name, r.n_members) for r in e.list_flows(namespace="w").collect()] == [("main", 251)]
+    assert e.trace_flow("a.main", namespace="w").count() == 200
+
+
 def test_answers_are_kept_for_a_while():
     from kodegraf.api import ResultCache
 
