@@ -261,7 +261,7 @@ def top_members(g):
 def ordered_load(g):
     from pyspark.sql import Window
 
-    r = g.part.select((F.col("p_partkey") + 5 * T).alias("node_id"), F.row_number().over(Window.orderBy(F.col("p_retailprice").desc(), "p_partkey")).cast("long").alias("rank")).where("rank <= 100")
+    r = g.part.select((F.col("p_partkey") + 5 * T).alias("node_id"), F.row_number().over(Window.orderBy(F.col("p_retailprice").desc(), "p_partkey")).cast("long").alias("rank"))
     return relations.in_rank_order(g.nodes, r).select("node_id", "qualified_name", "rank")
 
 
@@ -779,7 +779,7 @@ def structural_implements(g):
 
 @query("""SELECT h.file_path, h.line, n.node_id FROM (SELECT DISTINCT concat('catalog/tests/', o_orderpriority) AS file_path, 10 * o_orderkey + 4 AS line FROM {orders} WHERE o_orderkey % 3 = 0) h JOIN {nodes} n ON n.kind = 'test' AND n.file_path = h.file_path AND h.line BETWEEN n.start_line AND n.end_line""")
 def tested_by(g):
-    calls = g.orders.where("o_orderkey % 3 = 0").select(F.concat(F.lit("catalog/tests/"), "o_orderpriority").alias("file_path"), F.expr("10 * o_orderkey + 4").alias("line"), F.lit("f").alias("callee"))
+    calls = g.orders.select(F.concat(F.lit("catalog/tests/"), "o_orderpriority").alias("file_path"), F.expr("10 * o_orderkey + 4").alias("line"), F.lit("f").alias("callee"))
     return resolve.tested_by(calls, g.nodes).select("file_path", "line", "node_id")
 
 

@@ -105,6 +105,15 @@ def test_rebuilt_flows_reach_to_the_end(spark):
         assert {tuple(r) for r in Q.QUERIES[name](g).collect()} == want
 
 
+def test_all_orders_and_all_ranked_parts_are_read(spark):
+    g = Graph(spark, SF)
+    want = {(f"catalog/tests/{o.o_orderpriority}", 10 * o.o_orderkey + 4, 6 * T + o.o_orderkey) for o in g.orders.collect()}
+    assert {tuple(r) for r in Q.tested_by(g).collect()} == want
+    parts = sorted(g.part.collect(), key=lambda p: (-p.p_retailprice, p.p_partkey))
+    got = [(r.node_id, r["rank"]) for r in Q.ordered_load(g).collect()]
+    assert len(parts) > 100 and got == [(5 * T + p.p_partkey, i) for i, p in enumerate(parts, 1)]
+
+
 def test_risk_counts_hunks_and_edges(spark):
     n = nodes(spark, (1, "function", "a", "x.go", 1, 5), (2, "function", "b", "x.go", 6, 9), (3, "file", "x.go", "x.go", 1, 100_000))
     h = spark.createDataFrame([("x.go", 2, 3), ("x.go", 5, 6), ("y.go", 1, 9)], "file_path string, start_line int, end_line int")
