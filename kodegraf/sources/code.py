@@ -117,9 +117,12 @@ def _end(lines: list[str], first: int, language: str) -> int:
     return first
 
 
+PACKAGE = re.compile(r"\s*(?:package|namespace)\s+([\w.\\]+)")
+
+
 def _lines(path: str, text: str, language: str) -> list[dict]:
     lines, rows = text.split("\n"), []
-    package = next((m[1] for line in lines[:80] if (m := re.match(r"\s*(?:package|namespace)\s+([\w.\\]+)", line))), "")
+    package = next((m[1] for line in lines[:80] if (m := PACKAGE.match(line))), "")
     owners: list[tuple[int, str]] = []
     comment: list[int] = []
     declared: dict[int, set[str]] = {}
@@ -134,6 +137,8 @@ def _lines(path: str, text: str, language: str) -> list[dict]:
         if comment:
             rows.append({"rec": "comment", "start_line": comment[0] + 1, "end_line": comment[-1] + 1, "text": "\n".join(lines[comment[0] : comment[-1] + 1])})
             comment = []
+        if not package and not declared and (m := PACKAGE.match(line)):  # behind a long comment
+            package = m[1]
         for kind, rx in DECLARATIONS[language]:
             if (m := rx.match(line)) and m["name"] not in KEYWORDS:
                 owner = m.groupdict().get("owner") or (owners[-1][1] if owners else "")

@@ -182,6 +182,11 @@ def test_files_that_cannot_be_parsed_keep_their_node():
     assert [r["kind"] for r in code.parse_file("x.go", b"\xff\xfe")] == ["file"]
 
 
+def test_package_behind_a_long_comment():
+    text = "// License.\n" * 100 + "package store\n\nfunc Save() {\n}\n"
+    assert [r["qualified_name"] for r in code.parse_file("s/x.go", text.encode()) if r["rec"] == "node"] == ["s/x.go", "store.Save"]
+
+
 def test_queue_hands_on_the_latest_admitted_event(spark, tmp_path):
     events = [
         {"ref": "refs/heads/main", "after": "1", "repository": {"full_name": "o/a", "clone_url": "u1"}},
