@@ -19,16 +19,20 @@ The plan, none of which gathers a group in one task or the driver:
 3. every node is paired with the leaders of its buckets (the nodes with most
    company in theirs), in two further rounds with the next leader of its largest
    bucket; each pair is verified on whole texts and joins its classes;
-4. then all pairs of a bucket that lie in different classes and can reach the
-   similarity are verified, so that no link which a band proposes is lost. What
-   two texts can reach is bounded by their weights and by how much of each text
-   occurs in any other open text: a bound that keeps heavily edited copies of
-   one text from being paired with each other;
+4. then the nodes of buckets that hold several classes are compared block by
+   block, where a block holds a bounded number of nodes. A comparison is an
+   upper bound of the overlap: windows are counted in cells by their hash, and
+   no overlap exceeds the sum of the smaller counts of each cell. Only pairs
+   whose bound reaches the similarity leave the block and are verified on whole
+   texts, so no link that a band proposes is lost and no group emits its pairs;
 5. classes are merged by distributed minimum-label rounds.
 
 Edge cases: null and empty texts, and such of white space only, have no window
-and form classes of their own, one per row; so do rows without a doc_id. Rows
-that share a doc_id count as one document. An empty table gives no rows.
+and form classes of their own, one per row. Rows that share a doc_id are one
+document: all its texts are compared, and all belong to one class (but for
+empty ones). Rows without a doc_id are documents of their own that take part
+with their texts; a class without any doc_id has a null class_id. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +56,10 @@ REGISTERS = BANDS * ROWS
 #: similarity of 4/5, kept as a fraction so that the test is exact
 NUM, DEN = 4, 5
 LEADER_ROUNDS = 3
+#: Nodes of a block of a bucket, on average: a task compares two blocks at a time.
+BLOCK_NODES = 512
+#: Cells of the counts of windows, by the weight that a text has at least.
+CELLS = ((0, 256), (1024, 1024), (8192, 4096))
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
 
@@ -192,15 +200,26 @@ def _sketch():
         keys = np.concatenate([band_keys(signatures(bags[i : i + 256])) for i in range(0, len(bags), 256)])
         w = np.array([int(c.sum()) for _, c in bags], np.int64)
         offsets = np.arange(len(bags) + 1, dtype=np.int32) * BANDS
-        return {"doc_id": batch.column("doc_id"), "d1": d[:, 0], "d2": d[:, 1], "w": w, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))}
+        same = {k: batch.column(k) for k in ("doc_id", "k1", "k2")}
+        return same | {"d1": d[:, 0], "d2": d[:, 1], "w": w, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))}
 
     return run
 
 
+#: What tells rows apart: the doc_id, 0 for none, and a hash of 128 bits of the text.
+ROW = ["doc", "k1", "k2"]
+
+
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The text, the columns of ROW and the given ones."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(*columns, doc_id.alias("__doc_id"), text.alias("__text"), F.coalesce(doc_id, F.lit(0)).alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (d1, d2), number of windows w, band keys."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return map_texts(docs, _sketch, "doc_id long, d1 long, d2 long, w long, bands array<long>", cols)
+    """doc_id, hash of the text (k1, k2), digest of its words (d1, d2), number of windows w, band keys."""
+    rows = keyed(docs).select(F.col("__doc_id").alias("doc_id"), "k1", "k2", F.col("__text").alias("text"))
+    return map_texts(rows, _sketch, "doc_id long, k1 long, k2 long, d1 long, d2 long, w long, bands array<long>", rows.columns)
 
 
 def _verify():
@@ -220,30 +239,77 @@ def _verify():
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose whole texts reach the similarity. Merge joins at every size: texts are never broadcast."""
+    """Those pairs (a, b) of nodes whose whole texts reach the similarity. Merge joins at every size: texts are never broadcast."""
     two = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}).hint("merge"), "b").join(texts.withColumnRenamed("id", "a").hint("merge"), "a").select("a", "text", "b", "tb")
     return map_texts(two, _verify, "a long, b long, both long, all long", ["a", "text", "b", "tb"]).where(DEN * F.col("both") >= NUM * F.col("all")).select("a", "b")
 
 
-def _own_windows(it):
-    for b in it:
-        ids, raws = b.column("id").to_numpy(zero_copy_only=False), [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        for i in range(0, len(raws), 64):
-            part = bags_of(raws[i : i + 64])
-            if part:
-                n = [len(h) for h, _ in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 64], n)), pa.array(np.concatenate([h for h, _ in part]).astype(np.int64)), pa.array(np.concatenate([c for _, c in part]).astype(np.int64))], names=["id", "h", "c"])
+def cells_of(weight: int) -> int:
+    return next(n for least, n in reversed(CELLS) if weight >= least)
 
 
-def shared_weight(texts: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc_id, u): the windows of each text, with multiplicity, that another text has too.
+def cell_counts(one: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Windows of a text by cell, in 16 bits; large weights are counted in coarser units, rounded up."""
+    h, c = one
+    weight = int(c.sum())
+    n, shift = cells_of(weight), max(0, weight.bit_length() - 16)
+    counts = np.bincount((h % U(n)).astype(np.int64), weights=c, minlength=n).astype(np.int64)
+    return (-(-counts >> shift)).astype("<u2").tobytes()
+
+
+def _cells():
+    def run(batch):
+        raws = [text.encode("utf-8", "surrogatepass") for text in texts_of(batch)]
+        return {"id": batch.column("id"), "cells": pa.array([cell_counts(x) for x in bags_of(raws)], pa.binary())}
+
+    return run
+
+
+def most_overlap(weights: np.ndarray, cells: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap of the multisets i[k] and j[k]: the smaller counts of each cell, summed."""
+    kinds = np.array([cells_of(int(w)) for w in weights])
+    out = np.zeros(len(i), np.int64)
+    at_kind = np.minimum(kinds[i], kinds[j])
+    for n in np.unique(at_kind):
+        # Counts of more cells are folded: cells are hashes modulo powers of two.
+        own = np.zeros((len(weights), n), np.int32)
+        for x in np.flatnonzero(kinds >= n):
+            shift = max(0, int(weights[x]).bit_length() - 16)
+            own[x] = (np.frombuffer(cells[x], "<u2").astype(np.int32) << shift).reshape(-1, n).sum(axis=0)
+        on = np.flatnonzero(at_kind == n)
+        step = max(1, (1 << 22) // n)
+        for k in range(0, len(on), step):
+            o = on[k : k + step]
+            out[o] = np.minimum(own[i[o]], own[j[o]]).sum(axis=1)
+    return out
 
-    No overlap with any other of these texts can exceed u. A window of one text
-    only is a group of one row, so that no window is joined back to its texts.
-    """
-    rows = texts.mapInArrow(_own_windows, "id long, h long, c long")
-    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("c").alias("c")).where("n = 1").groupBy("id").agg(F.sum("c").alias("own"))
-    return weights.join(alone, weights.doc_id == alone.id, "left").select("doc_id", (F.col("w") - F.coalesce("own", F.lit(0))).alias("u"))
+
+def _near_pairs(key: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a bucket, in different classes, whose bound reaches the similarity; each in its first common band."""
+    band, _, x, y = (k.as_py() for k in key)
+    ids, label, w, block = (rows.column(k).to_numpy() for k in ("id", "label", "w", "block"))
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    fits = (label[left][:, None] != label[right]) & (DEN * np.minimum(w[left][:, None], w[right]) >= NUM * np.maximum(w[left][:, None], w[right]))
+    i, j = np.nonzero(np.triu(fits, 1) if x == y else fits)
+    i, j = left[i], right[j]
+    if len(i):
+        most = most_overlap(w, rows.column("cells").to_pylist(), i, j)
+        on = (NUM + DEN) * most >= NUM * (w[i] + w[j])
+        i, j = i[on], j[on]
+    if len(i):
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band]
+        on = ~np.concatenate([(bands[i[k : k + 65536]] == bands[j[k : k + 65536]]).any(axis=1) for k in range(0, len(i), 65536)])
+        i, j = i[on], j[on]
+    return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def near_pairs(at: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different classes that a bucket holds and whose overlap may reach the similarity; at: band, key, n, id, w, label."""
+    cells = map_texts(texts.join(at.select("id").distinct().hint("merge"), "id", "left_semi"), _cells, "id long, cells binary", ["id", "text"])
+    n = F.ceil(F.col("n") / F.lit(BLOCK_NODES)).cast("int")
+    side = at.withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    side = side.join(cells.join(nodes.select("id", "bands"), "id").hint("merge"), "id").select("band", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "label", "w", "block", "cells", "bands")
+    return side.groupBy("band", "key", "x", "y").applyInArrow(_near_pairs, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,51 +326,48 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("to").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept (one document of each class: the smallest doc_id).
-
-    The table of sketches, verified links and labels go to the shared folder.
-    """
-    sk = saved(sketches(docs), "sketches")
-    words = sk.where("w > 0 and doc_id is not null")
-    nodes = saved(words.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "w", "bands")).alias("m")).select("d1", "d2", "m.*"), "nodes")
-    bucket = nodes.select("doc_id", "w", F.posexplode("bands").alias("band", "key"))
-    crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    company = bucket.join(crowd, ["band", "key"]).select("band", "key", "n", "doc_id", "w")
-    rank = company.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    company = saved(company.join(rank, "doc_id").select("band", "key", "n", "doc_id", "w", "company"), "company")
+def node_classes(sk: DataFrame, docs: DataFrame) -> DataFrame:
+    """d1, d2, rep (missing, doc_id, k1, k2 of the first row), n_rows and label of each node; label is one id of the class."""
+    words = sk.where("w > 0")
+    rep = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k1", "k2")
+    nodes = words.groupBy("d1", "d2").agg(F.min(F.struct(rep.alias("rep"), "w", "bands")).alias("m"), F.count("*").alias("n_rows"))
+    # Ids are fixed by writing them; results do not depend on them.
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "m.*", "n_rows"), "nodes")
+    bucket = nodes.select("id", "w", F.posexplode("bands").alias("band", "key"))
+    # Written before they are joined, here and below, so that the join of a crowded bucket can be split.
+    crowd = saved(bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    company = bucket.join(crowd, ["band", "key"]).select("band", "key", "n", "id", "w")
+    rank = company.groupBy("id").agg(F.sum("n").alias("company"))
+    company = saved(company.join(rank, "id").select("band", "key", "n", "id", "w", "company"), "company")
     # The only pass over all texts but the first; a merge join at every size.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = saved(texts.join(rank.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-
-    at = company.select("*", F.col("doc_id").alias("label"), F.col("w").alias("u"))
-    labels, links, used = None, [], None
+    first = nodes.join(rank, "id", "left_semi").select("id", F.coalesce("rep.doc_id", F.lit(0)).alias("doc"), "rep.k1", "rep.k2")
+    texts = saved(keyed(docs).join(first.hint("merge"), ROW).groupBy(*ROW).agg(F.first("id").alias("id"), F.first("__text").alias("text")).select("id", "text"), "near-texts")
+
+    at = company.withColumn("label", F.col("id"))
+    # Texts of one document are of one class.
+    several = words.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("z")).where("a <> z")
+    one = words.join(several, "doc_id").select("d1", "d2", "a").distinct().where("a <> struct(d1, d2)")
+    ids = nodes.select("d1", "d2", "id")
+    same = one.join(ids, ["d1", "d2"]).select(F.col("id").alias("b"), F.col("a.d1").alias("d1"), F.col("a.d2").alias("d2")).join(ids, ["d1", "d2"]).select(F.col("id").alias("a"), "b")
+    labels, links, used = None, [saved(same, "links")], None
     for turn in range(LEADER_ROUNDS + 1):
         if turn:
-            at = company.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+            at = company.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
             mixed = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
+            mixed = saved(mixed, "mixed")
             at = saved(at.join(mixed, ["band", "key"], "left_semi"), "open")
-            if turn == 1:
-                weights = saved(at.select("doc_id", "w").distinct(), "weights")
-                bound = saved(shared_weight(texts.join(weights.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi"), weights), "bounds")
-            # The similarity asks for an overlap of 4/9 of both weights, and the other text weighs 4/5 at least.
-            at = at.join(bound, "doc_id").where(DEN * F.col("u") >= NUM * F.col("w"))
         if turn < LEADER_ROUNDS:
-            free = at if used is None else at.join(used, ["band", "key", "doc_id"], "left_anti")
-            lead = free.groupBy("band", "key").agg(F.max(F.struct("company", F.expr("-doc_id").alias("o"), "doc_id", "w", "u", "label")).alias("l")).select("band", "key", F.col("l.doc_id").alias("a"), F.col("l.w").alias("wa"), F.col("l.u").alias("ua"), F.col("l.label").alias("la"))
+            free = at if used is None else at.join(used, ["band", "key", "id"], "left_anti")
+            lead = free.groupBy("band", "key").agg(F.max(F.struct("company", "id", "w", "label")).alias("l")).select("band", "key", F.col("l.id").alias("a"), F.col("l.w").alias("wa"), F.col("l.label").alias("la"))
             lead = saved(lead, "leaders")
-            mine = lead.select("band", "key", F.col("a").alias("doc_id"))
+            mine = lead.select("band", "key", F.col("a").alias("id"))
             used = mine if used is None else used.unionByName(mine)
             # First a node meets the leaders of all its buckets, later that of its largest one.
-            side = at if turn == 0 else at.groupBy("doc_id").agg(F.max(F.struct("n", "band", "key", "w", "u", "label")).alias("m")).select("doc_id", "m.*")
-            rivals = (F.col("label") != F.col("la")) & (F.col("doc_id") != F.col("a"))
+            side = at if turn == 0 else at.groupBy("id").agg(F.max(F.struct("n", "band", "key", "w", "label")).alias("m")).select("id", "m.*")
+            possible = DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w")
+            pairs = lead.join(side, ["band", "key"]).where((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")) & possible).select("a", F.col("id").alias("b")).distinct()
         else:
-            # A pair shares several buckets; it is formed in the first of them.
-            side = at.join(nodes.select("doc_id", "bands"), "doc_id")
-            lead = side.select("band", "key", F.col("doc_id").alias("a"), F.col("w").alias("wa"), F.col("u").alias("ua"), F.col("label").alias("la"), F.col("bands").alias("ba"))
-            rivals = (F.col("la") < F.col("label")) & (F.array_position(F.zip_with("ba", "bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1)
-        possible = (DEN * F.least("wa", "w") >= NUM * F.greatest("wa", "w")) & ((NUM + DEN) * F.least("ua", "u") >= NUM * (F.col("wa") + F.col("w")))
-        pairs = lead.join(side, ["band", "key"]).where(rivals & possible).select("a", F.col("doc_id").alias("b")).distinct()
+            pairs = near_pairs(at, nodes, texts)
         pairs = saved(pairs, "pairs")
         if labels is not None and pairs.isEmpty():
             continue  # nothing new to verify or to merge
@@ -312,16 +375,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is None or not new.isEmpty():
             links.append(new)
             labels = components(reduce(DataFrame.unionByName, links))
+    return saved(nodes.join(labels, "id", "left").select("d1", "d2", "rep", "n_rows", F.coalesce("label", "id").alias("label")), "classed")
 
-    classed = nodes.join(labels, nodes.doc_id == labels.id, "left").select("d1", "d2", F.coalesce("label", "doc_id").alias("class_id"))
-    rows = words.select("doc_id", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "class_id")
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    full = rows.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    bare = sk.where("w = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size (rows), kept (the document of the smallest doc_id).
+
+    The table of sketches, verified links and labels go to the shared folder.
+    """
+    sk = saved(sketches(docs), "sketches")
+    nodes = node_classes(sk, docs)
+    classes = saved(nodes.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"), F.sum("n_rows").alias("class_size")), "classes")
+    classed = saved(nodes.join(classes, "label").select("d1", "d2", "class_id", "class_size"), "classed")
+    full = sk.where("w > 0").select("doc_id", "d1", "d2").join(classed, ["d1", "d2"]).select("doc_id", "class_id", "class_size")
+    bare = sk.where("w = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: one of each class, all columns as they were."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of docs of each class, that of the smallest doc_id (rows without one come last), all columns as they were; rows without words all stay."""
+    sk = saved(sketches(docs), "sketches")
+    best = node_classes(sk, docs).groupBy("label").agg(F.min("rep").alias("r")).select(F.coalesce("r.doc_id", F.lit(0)).alias("doc"), "r.k1", "r.k2")
+    best = saved(best, "kept")
+    row = sk.withColumn("doc", F.coalesce("doc_id", F.lit(0)))
+    repeated = row.where("w > 0").groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").select(*ROW)
+    twice = saved(best.join(repeated, ROW, "left_semi"), "repeated")
+    once = best.join(twice, ROW, "left_anti").unionByName(row.where("w = 0").select(*ROW))
+    own = [f"`{c}`" for c in docs.columns]
+    rows = keyed(docs, *own)
+    out = rows.join(once, ROW, "left_semi").select(*own)
+    if twice.isEmpty():
+        return out
+    return out.unionByName(rows.join(twice, ROW, "left_semi").dropDuplicates(ROW).select(*own))
