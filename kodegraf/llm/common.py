@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,30 @@ def crc_fold(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+class Spans:
+    """Spans that don't overlap, looked up in logarithmic time: [start, end) of any kinds, merged where they touch each other's inside."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for i, j in sorted(spans):
+            if self.ends and i < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], j)
+            else:
+                self.starts.append(i)
+                self.ends.append(j)
+
+    def meet(self, i: int, j: int) -> bool:
+        """Whether some span shares a position with [i, j)."""
+        k = bisect_left(self.starts, j) - 1
+        return k >= 0 and self.ends[k] > i
+
+    def hold(self, i: int, j: int) -> bool:
+        """Whether [i, j) lies within the merged spans."""
+        k = bisect_right(self.starts, i) - 1
+        return k >= 0 and j <= self.ends[k]
+
+
 U = np.uint64
 
 

@@ -10,10 +10,11 @@ overlaps a base span.
 
 No table labels personal data, so the trees are trained on examples made by
 rule: spans of each kind and look-alikes (order numbers, versions, dates,
-measures) in random sentences.
+measures) in random sentences. Their precision holds for such examples; it says
+nothing about other texts.
 
 Edge cases: null texts count as empty and have no spans; texts are read whole,
-in time proportional to their length; repeated rows get a row each; an empty
+in time proportional to their length (but for a logarithm); repeated rows get a row each; an empty
 table gives no rows. Positions are code points, ends exclusive.
 """
 
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kodegraf.llm.common import map_texts, texts_of
+from kodegraf.llm.common import Spans, map_texts, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("mail_words", "phone_local", "ssn", "iban", "ipv6", "card_other", "birth")
@@ -273,14 +275,21 @@ def fit(n: int = 2000) -> Trees:
 
 def more_spans(text: str, base: list[tuple[int, int, int]], trees: Trees) -> list[tuple[int, int, int]]:
     """Judged candidates, the likelier of overlapping ones, none over a base span; kind numbers follow the base kinds."""
-    found = [c for c in candidates(text) if not any(i < c[2] and c[1] < j for _, i, j in base)]
+    over = Spans((i, j) for _, i, j in base)
+    found = [c for c in candidates(text) if not over.meet(c[1], c[2])]
     if not found:
         return []
     p = trees.probability(np.array([measured(text, *c) for c in found]))
+    likely = sorted((-q, i, j, MORE.index(kind)) for q, (kind, i, j) in zip(p, found) if q >= trees.thresholds[kind])
+    starts: list[int] = []  # of the spans taken so far, which don't overlap
+    end: dict[int, int] = {}
     out: list[tuple[int, int, int]] = []
-    for q, (kind, i, j) in sorted(zip(p, found), key=lambda x: (-x[0], x[1][1], x[1][2], MORE.index(x[1][0]))):
-        if q >= trees.thresholds[kind] and not any(i < e and s < j for _, s, e in out):
-            out.append((len(BASE) + MORE.index(kind), i, j))
+    for _, i, j, kind in likely:
+        k = bisect_left(starts, j)
+        if k == 0 or end[starts[k - 1]] <= i:
+            insort(starts, i)
+            end[i] = j
+            out.append((len(BASE) + kind, i, j))
     return sorted(out)
 
 

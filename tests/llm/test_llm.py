@@ -358,7 +358,10 @@ def test_secret_scan_reports_base_and_dear_values(spark, odd_texts):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
     assert got.spans.iloc[-1] == "guess:5:16"
-    assert secret_scan.secrets(clashing(frame(spark, odd_texts)).limit(0)).count() == 0
+    docs = clashing(frame(spark, texts))
+    twice = secret_scan.secrets(docs).toPandas()
+    assert sorted(twice.spans) == sorted([*got.spans, *got.spans])
+    assert secret_scan.secrets(docs.limit(0)).count() == 0
 
 
 def test_guess_cost_alone_decides_on_letters():
@@ -373,6 +376,56 @@ def test_guess_costs_order_values():
     assert cost("password") < cost("P@ssw0rd1") < cost("qwerty12345") < cost("xK9#mQ2$vL7p")
     assert cost("aaaaaaaaaaaaaaaa") < 4 and cost("20201231") < 6 and cost("") == 0
     assert cost("abcdefgh" * 20_000) > 0  # in time proportional to the length
+    assert max(map(cost, ["streaming", "authentication", "P@ssword", "newyork2019"])) < 8 < min(map(cost, ["hGtRkLpQz", "7f-qq!Zp02"]))
+
+
+def test_guess_costs_match_exhaustive_segmentation():
+    rank = secret_scan.ranks(secret_scan.public_path())
+
+    def cheapest(value):
+        by_start = collections.defaultdict(list)
+        for j, found in secret_scan.segments(value, rank).items():
+            for i, c in found:
+                by_start[i].append((j, c))
+
+        def go(i):
+            if i == len(value):
+                yield 0.0
+            for j, c in by_start[i]:
+                yield from (c + secret_scan.SEGMENT + rest for rest in go(j))
+            for j in range(i + 1, len(value) + 1):
+                c = sum(map(secret_scan._class_cost, value[i:j])) + secret_scan.SEGMENT
+                yield from (c + rest for rest in go(j))
+
+        return min(go(0))
+
+    rng = random.Random(11)
+    bits = ["a", "Q", "7", "!", "the", "pass", "P4ss", "qwe", "123", "1999", "aa", "xyxy", "é"]
+    for _ in range(120):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))[:11]
+        assert secret_scan.guess_cost(value) == pytest.approx(cheapest(value)), value
+
+
+def test_quoted_and_aligned_values_are_read_whole():
+    found = lambda t: [t[i:j] for i, _, j in secret_scan.guessed_spans(t, secret_scan.base_spans(t))]
+    assert found('passphrase: "correct horse 7 battery zx9"') == ["correct horse 7 battery zx9"]
+    assert found("pwd" + " " * 30 + "=    Zx9!kQ72LmP") == ["Zx9!kQ72LmP"]
+    assert found('pwd: "kQ72LmP!z9') == ["kQ72LmP!z9"]  # a quote that never closes
+
+
+def test_scans_of_a_long_text_take_time_in_proportion():
+    import time
+
+    trees = pii.fit()
+    secret, person = "password=aB3dE5fG7hJ9kL2 pwd: x!9Kq#27zz\n", "born: 1961-04-12 or call (415) 555-1234, mail a@b.example.com\n"
+    for scan, line in ((lambda t: secret_scan.guessed_spans(t, secret_scan.base_spans(t)), secret), (lambda t: pii.more_spans(t, pii.base_spans(t), trees), person)):
+        took = []
+        for size in (1 << 18, 1 << 20):
+            text = line * (size // len(line))
+            began = time.perf_counter()
+            assert len(scan(text)) >= size // len(line)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.5, took
 
 
 def test_personal_data_reports_base_and_judged_spans(spark, odd_texts):
@@ -383,6 +436,9 @@ def test_personal_data_reports_base_and_judged_spans(spark, odd_texts):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert r.spans.startswith(base)
     assert "ssn" in got.spans.iloc[-2] and got.spans.iloc[-1] == ""
+    docs = clashing(frame(spark, texts))
+    assert sorted(pii.personal_data(docs).toPandas().spans) == sorted([*got.spans, *got.spans])
+    assert pii.personal_data(docs.limit(0)).count() == 0 and pii.redacted(docs.limit(0)).columns == docs.columns
     clean = pii.redacted(clashing(frame(spark, texts))).toPandas()
     assert "[EMAIL] or [PHONE]" in clean.text[clean.doc_id == len(odd_texts)].iloc[0]
     assert clean.text[clean.doc_id == 0].isna().all()
