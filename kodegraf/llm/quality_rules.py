@@ -1,22 +1,34 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a cheap test of one text. A bounded sample tells what a rule costs
-and how often it rejects; rules then run in the order of rejections per second
-and stop at the first that rejects. The verdict is the conjunction of all
-rules, so it does not depend on the order: only the time does.
+Each rule is a cheap test of one text; the two base rules (too few words, too
+many repeated ones) are rules like the others. On a bounded sample the cascade
+is put in order step by step: of the rules left, the one with the most
+rejections per second comes next, both taken over the texts that all rules
+before let pass and priced at what the rule costs on top of the measurements
+already made for these texts. Rules then run in this order and stop at the
+first that rejects. The verdict is the conjunction of all rules, so it does not
+depend on the order: only the time does.
+
+accepted() filters by the whole cascade, and a text that an early rule rejects
+is not measured further. The report of quality_rules() states the base
+measurements of every text: there these are paid for beforehand, the order
+counts them as free, and only what is left is saved.
 
 Edge cases: null and empty texts have no words, fail the base rule and are not
-kept. Texts of any length are read whole. Repeated rows get a row each.
+kept. Texts of any length are read whole. Repeated rows get a row each. An empty
+table gives no rows; the order of rules is then the listed one.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +131,12 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
+#: Measurements that the report states of every text, and the base rules over them.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE_RULES = (
+    Rule("few_words", lambda t: t.n_words < 20),
+    Rule("repeats", lambda t: 100 * t.n_repeat_words > 30 * t.n_words),
+)
 RULES = (
     Rule("symbols", lambda t: 100 * t.n_symbols > 20 * t.n_words),
     Rule("short_words", lambda t: t.word_chars < 2 * t.n_words),
@@ -132,43 +150,55 @@ RULES = (
 
 
 def base_failed(t: Text) -> bool:
-    return t.n_words < 20 or 100 * t.n_repeat_words > 30 * t.n_words
-
-
-def cascade_order(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[str]:
-    """Names of the rules by estimated rejections per second, most first."""
-    rated = []
-    for i, rule in enumerate(rules):
-        fresh = [Text(x) for x in texts]
-        for t in fresh:
-            t.n_words
-        began = time.perf_counter()
-        rejected = sum(map(rule.rejects, fresh))
-        cost = (time.perf_counter() - began) / max(1, len(fresh)) + 1e-9
-        share = (rejected + 0.5) / (len(fresh) + 1)
-        rated.append((-share / cost, i, rule.name))
-    return [name for _, _, name in sorted(rated)]
+    return any(r.rejects(t) for r in BASE_RULES)
+
+
+def cascade_order(texts: list[str], rules: tuple[Rule, ...] = RULES, paid: tuple[str, ...] = ()) -> list[str]:
+    """Names of the rules, next always the one with the most rejections per second among the texts that are left."""
+    alive, left, order = [Text(x) for x in texts], list(rules), []
+    for t in alive:
+        for name in paid:
+            getattr(t, name)
+    while left:
+        rated = []
+        for i, rule in enumerate(left):
+            fresh = [copy(t) for t in alive]  # with the measurements made so far
+            began = time.perf_counter()
+            rejected = sum(map(rule.rejects, fresh))
+            cost = (time.perf_counter() - began) / max(1, len(fresh)) + 1e-9
+            rated.append((-(rejected + 0.5) / (len(fresh) + 1) / cost if fresh else 0.0, i))
+        best = left.pop(min(rated)[1])
+        order.append(best.name)
+        alive = [t for t in alive if not best.rejects(t)]
+    return order
 
 
 def first_rejection(t: Text, ordered: list[Rule]) -> str | None:
     return next((r.name for r in ordered if r.rejects(t)), None)
 
 
+def _sampled(docs: DataFrame) -> list[str]:
+    fair = docs.where(F.length("text") <= SAMPLE_CHARS)
+    return [r.text for r in sample_rows(fair, SAMPLE_ROWS, ["doc_id", "text"])]
+
+
+def _sorted(rules: tuple[Rule, ...], order: list[str]) -> list[Rule]:
+    return sorted(rules, key=lambda r: order.index(r.name))
+
+
 def quality_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    if order is None:
-        fair = docs.where(F.length("text") <= SAMPLE_CHARS)
-        order = cascade_order([r.text for r in sample_rows(fair, SAMPLE_ROWS, ["doc_id", "text"])])
+    order = order or cascade_order(_sampled(docs), RULES, MEASURES)
 
     def make():
-        ordered = sorted(RULES, key=lambda r: order.index(r.name))
+        ordered = _sorted(RULES, order)
 
         def run(batch):
-            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")}
+            out: dict[str, list] = {k: [] for k in (*MEASURES, "base_failed", "kept")}
             for text in texts_of(batch):
                 t = Text(text)
                 bad = base_failed(t)
-                for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+                for k in MEASURES:
                     out[k].append(getattr(t, k))
                 out["base_failed"].append(bad)
                 out["kept"].append(not bad and first_rejection(t, ordered) is None)
@@ -180,6 +210,19 @@ def quality_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     return map_texts(docs, make, schema, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")])
 
 
+def accepted(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rows of docs that no rule rejects, all columns as they were; texts are measured only as far as the cascade asks."""
+    rules = BASE_RULES + RULES
+    order = order or cascade_order(_sampled(docs), rules)
+
+    @F.pandas_udf("boolean")
+    def good(texts):
+        ordered = _sorted(BASE_RULES + RULES, order)
+        return pd.Series([first_rejection(Text(t or ""), ordered) is None for t in texts], dtype=bool)
+
+    return docs.where(good(F.col("text").cast("string")))
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents

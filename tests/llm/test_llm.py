@@ -80,6 +80,34 @@ def test_cascade_order_follows_rejections_per_cost_and_not_the_verdict(spark, od
     assert quality_rules.cascade_order(["a b c"] * 20, (slow, fast)) == ["fast", "slow"]
 
 
+def test_cascade_order_prices_rules_given_those_before():
+    rule = quality_rules.Rule
+    texts = ["a"] * 10 + ["b"] * 20 + ["c"] * 60 + ["d"] * 10
+
+    def waits(n):
+        return sum(range(n)) < 0
+
+    # Alone "ab" rejects most; after it "a" rejects nothing that is left, so that "d" goes before it.
+    rules = (rule("a", lambda t: waits(3000) or t.text == "a"), rule("ab", lambda t: waits(3000) or t.text in "ab"), rule("d", lambda t: waits(3000) or t.text == "d"))
+    order = quality_rules.cascade_order(texts, rules)
+    assert order[0] == "ab" and order[-1] == "a"
+    # A measurement that is paid for beforehand costs nothing any more.
+    long = [" ".join(f"w{i % 50}" for i in range(3000))] * 20
+    rules = (rule("waits", lambda t: waits(6000) or True), rule("repeats", lambda t: t.n_repeat_words > 0))
+    assert quality_rules.cascade_order(long, rules, ("n_repeat_words",)) == ["repeats", "waits"]
+    assert quality_rules.cascade_order(long, rules) == ["waits", "repeats"]
+
+
+def test_quality_rules_filter_as_they_report(spark, odd_texts):
+    docs = clashing(frame(spark, odd_texts + [prose(random.Random(i), 50) for i in range(20)]))
+    report = quality_rules.quality_rules(docs)
+    assert report.count() == 2 * (len(odd_texts) + 20)
+    kept = quality_rules.accepted(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.toPandas().doc_id) == sorted(report.where("kept").toPandas().doc_id)
+    assert quality_rules.quality_rules(docs.limit(0)).count() == quality_rules.accepted(docs.limit(0)).count() == 0
+
+
 # --- 2 -------------------------------------------------------------------------------
 
 
@@ -318,6 +346,38 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert ann.nearest(df.where("vec_id < 5")).toPandas()["rank"].tolist() == [1, 2, 3, 4]
 
 
+def test_work_of_a_query_stays_where_clusters_grow_in_number(spark):
+    rng, tested = np.random.default_rng(3), []
+    for clusters in (40, 160):
+        centre = rng.normal(size=(clusters, 16)) * 4
+        x = (centre[:, None] + rng.normal(size=(clusters, 50, 16)) * 0.3).reshape(-1, 16)
+        x = x[rng.permutation(len(x))]
+        index = ann.fit_index(x[: ann.FIT_ROWS], len(x), rows_a_part=100)
+        tested.append(index.probes * len(x) / index.router.parts)
+        got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), rows_a_part=100).toPandas()
+        hit = 0
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        assert hit >= 0.9 * len(got)
+    assert tested[0] <= 0.1 * 2000 and tested[1] <= 0.05 * 8000, tested
+
+
+def test_neighbours_take_large_norms_and_clashing_columns(spark):
+    x = np.random.default_rng(5).normal(size=(200, 8)) * 1e9
+    rows = spark.createDataFrame([(i, v.tolist(), 1, 2, 3, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, part int, score int, rank int, query_id string")
+    got, hit = ann.nearest(rows.unionByName(rows)).toPandas(), 0
+    assert len(got) == 10 * 20
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert set(collections.Counter(g.vec_id).values()) == {2} and q not in set(g.vec_id)
+        hit += len(set(np.argsort(-s)[:10]) & set(g.vec_id))
+        np.testing.assert_allclose(g.score, s[g.vec_id])
+    assert hit >= 0.9 * 100
+
+
 def test_parts_are_balanced():
     part = ann.balanced_parts(np.random.default_rng(1).normal(size=(800, 16)), 8)
     assert np.bincount(part).max() <= 111
