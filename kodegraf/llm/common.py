@@ -127,12 +127,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def sample_rows(df: DataFrame, n: int, columns: list, key: str = "doc_id", seed: int = 17) -> list:
+def sampled(df: DataFrame, n: int, columns: list, key: tuple = ("doc_id", "text"), seed: int = 17) -> DataFrame:
     """At most n rows, those of the smallest hash of key: spread over the table and alike at each run.
 
-    A first pass over the key alone finds the hash to stop at, so that texts of
-    the sample only are sent to the driver.
+    A first pass finds the hash to stop at, so that only rows of the sample are
+    sorted. Rows of one hash are equal in the key, whichever of them is taken.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.xxhash64(*key, F.lit(seed))
     top = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
-    return df.where(h <= F.lit(top)).select(*columns).limit(n).collect() if top is not None else []
+    return df.where(h <= F.lit(top) if top is not None else F.lit(False)).orderBy(h).limit(n).select(*columns)

@@ -1,6 +1,8 @@
 """Quality classifier: random-indexing vectors, pooled, under a two-layer network.
 
-A bounded sample of labelled rows trains everything. Each token has a sparse
+A bounded sample of labelled rows trains everything; its texts are tokenised and
+counted on the executors, and only counts and vectors of bounded size are
+collected. Each token has a sparse
 ternary index vector made from its hash; a token's context vector is the sum of
 the index vectors around its occurrences (random indexing). A token vector is
 its unit context vector plus its own index vector. The same is done for token
@@ -28,11 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kodegraf.llm.common import crc_fold, map_texts, texts_of
+from kodegraf.llm.common import batches, crc_fold, map_texts, saved, texts_of
 
 #: The classifier is fitted on at most so many labelled rows, those of the smallest hash of doc_id.
 TRAIN_ROWS = 4000
@@ -122,22 +125,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
-def random_indexing(token_lists: list[list[str]]) -> tuple[dict, dict, np.ndarray, np.ndarray]:
-    """Vocabulary, shapes and their vectors from whole tokenised texts."""
-    counts = Counter(t.lower() for tokens in token_lists for t in tokens)
-    words = {t: i for i, (t, c) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= LEAST_COUNT}
-    shapes = {s: i for i, s in enumerate(sorted({shape(t) for tokens in token_lists for t in set(tokens)} | {SAME}))}
-    own_w = np.stack([index_vector(t) for t in words]) if words else np.zeros((0, DIM), np.float32)
-    own_s = np.stack([index_vector(s) for s in shapes])
-    ctx_w, ctx_s = np.zeros((len(words) + 1, DIM), np.float32), np.zeros((len(shapes), DIM), np.float32)
-    base_w = np.vstack([own_w, np.zeros((1, DIM), np.float32)])
+def context_sums(token_lists: list[list[str]], words: dict[str, int], shapes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word and shape the sum of the index vectors around it, as whole numbers: in units of an entry of an index vector."""
+    unit = np.sqrt(NONZERO)
+    ternary = lambda names: np.rint(np.stack([index_vector(t) for t in names]) * unit).astype(np.int32) if names else np.zeros((0, DIM), np.int32)
+    base_w, base_s = np.vstack([ternary(words), np.zeros((1, DIM), np.int32)]), ternary(shapes)
+    ctx_w, ctx_s = np.zeros((len(words) + 1, DIM), np.int64), np.zeros((len(shapes), DIM), np.int64)
     of_shape: dict[str, int] = {}
     for tokens in token_lists:
         if not tokens:
             continue
         w = np.array([words.get(t.lower(), len(words)) for t in tokens])
         s = np.array([of_shape.setdefault(t, shapes[shape(t)]) for t in tokens])
-        here = base_w[w] + own_s[s]
+        here = base_w[w] + base_s[s]
         around = np.zeros_like(here)
         for o in range(1, REACH + 1):
             around[o:] += here[:-o]
@@ -146,19 +146,69 @@ def random_indexing(token_lists: list[list[str]]) -> tuple[dict, dict, np.ndarra
         np.add.at(ctx_s, s, around)
         same = [i for i in range(1, len(tokens)) if tokens[i] == tokens[i - 1]]
         ctx_s[shapes[SAME]] += around[same].sum(axis=0)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-    return words, shapes, unit(ctx_w[:-1]) + own_w, np.vstack([unit(ctx_s) + own_s, np.zeros((1, DIM), np.float32)])
+    return ctx_w[:-1], ctx_s
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 60, seed: int = 3) -> Model:
-    y = np.array(labels, np.float32)
-    token_lists = [TOKEN.findall(t) for t in texts]
-    words, shapes, wv, sv = random_indexing(token_lists)
-    model = Model(words, shapes, wv, sv, np.zeros(0), np.ones(0), np.zeros(0), np.zeros(0), np.zeros(0), 0.0, 1.0)
+def token_vectors(words: dict[str, int], shapes: dict[str, int], ctx_w: np.ndarray, ctx_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit context vectors plus own index vectors; a row of zeros for shapes not known follows."""
+    own = lambda names: np.stack([index_vector(t) for t in names]) if names else np.zeros((0, DIM), np.float32)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    return (unit(ctx_w) + own(words)).astype(np.float32), np.vstack([unit(ctx_s) + own(shapes), np.zeros((1, DIM))]).astype(np.float32)
+
+
+def _counted(it):
+    """Counts of words (w) and shapes (s) of each batch."""
+    for b in batches(it):
+        words, shapes = Counter(), set()
+        for text in texts_of(b):
+            tokens = Counter(TOKEN.findall(text))
+            for t, n in tokens.items():
+                words[t.lower()] += n
+            shapes |= {shape(t) for t in tokens}
+        names = [*words, *sorted(shapes)]
+        yield pa.RecordBatch.from_arrays([pa.array(["w"] * len(words) + ["s"] * len(shapes)), pa.array(names, pa.string()), pa.array([*words.values(), *[1] * len(shapes)], pa.int64())], names=["kind", "name", "n"])
+
+
+def token_model(rows: DataFrame) -> Model:
+    """The vectors of tokens from the texts of rows, without a network."""
+    counts = saved(rows.select("text").mapInArrow(_counted, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")), "tokens")
+    top = counts.where((F.col("kind") == "w") & (F.col("n") >= LEAST_COUNT)).orderBy(F.col("n").desc(), "name").limit(VOCABULARY).collect()
+    words = {r.name: i for i, r in enumerate(top)}
+    # Shapes are few: a character of ASCII and a length up to three, and some more.
+    shapes = {x: i for i, x in enumerate(sorted({r.name for r in counts.where("kind = 's'").collect()} | {SAME}))}
+
+    def sums(it):
+        w, s = np.zeros((len(words), DIM), np.int64), np.zeros((len(shapes), DIM), np.int64)
+        for b in batches(it):
+            x, y = context_sums([TOKEN.findall(t) for t in texts_of(b)], words, shapes)
+            w += x
+            s += y
+        both = np.vstack([w, s])
+        on = np.flatnonzero(both.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(list(both[on]), pa.list_(pa.int64()))], names=["at", "v"])
+
+    # A row a word, and one task or a few, as the sample is small.
+    both = np.zeros((len(words) + len(shapes), DIM), np.int64)
+    for r in rows.select("text").coalesce(4).mapInArrow(sums, "at long, v array<long>").collect():
+        both[r["at"]] += np.array(r.v)
+    wv, sv = token_vectors(words, shapes, both[: len(words)], both[len(words) :])
+    return Model(words, shapes, wv, sv, np.zeros(0), np.ones(0), np.zeros(0), np.zeros(0), np.zeros(0), 0.0, 1.0)
+
+
+def network_gradient(p: list[np.ndarray], z: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean logistic loss, with half the decay times the squared weights, by w1, b1, w2 and b2."""
+    h = np.tanh(z @ p[0] + p[1])
+    d = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y) / len(y)
+    dh = np.outer(d, p[2]) * (1 - h * h)
+    return [z.T @ dh + decay * p[0], dh.sum(axis=0), h.T @ d + decay * p[2], d.sum(keepdims=True)]
+
+
+def fit_network(model: Model, x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 3) -> Model:
+    """model with the network and temperature fitted on features x and labels y."""
+    y = y.astype(np.float32)
     if len(y) < 2 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
-    x = model.features(texts)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     cut = max(1, len(y) * 4 // 5)
@@ -168,14 +218,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 60, seed: int = 3) ->
     p = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
     m1, m2, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(epochs):
+        walk = rng.permutation(train)
         for i in range(0, cut, 128):
-            at = train[rng.permutation(cut)[:128]] if i else train[:128]
-            h = np.tanh(z[at] @ p[0] + p[1])
-            d = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y[at]) / len(at)
-            dh = np.outer(d, p[2]) * (1 - h * h)
-            grad = [z[at].T @ dh + 1e-4 * p[0], dh.sum(axis=0), h.T @ d + 1e-4 * p[2], d.sum(keepdims=True)]
+            at = walk[i : i + 128]
             step += 1
-            for a, g, u, v in zip(p, grad, m1, m2):
+            for a, g, u, v in zip(p, network_gradient(p, z[at], y[at]), m1, m2):
                 u += 0.1 * (g - u)
                 v += 0.001 * (g * g - v)
                 a -= 0.003 * (u / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -191,6 +238,23 @@ def fit(texts: list[str], labels: list[int], epochs: int = 60, seed: int = 3) ->
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier, from at most TRAIN_ROWS labelled rows."""
+    rows = saved(labelled_sample(docs, labels, "quality", TRAIN_ROWS), "labelled")
+    model = token_model(rows)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def run(batch):
+            return {"id": batch.column("__id"), "y": batch.column("y"), "x": pa.array(list(held.value.features(texts_of(batch))), pa.list_(pa.float32()))}
+
+        return run
+
+    got = map_texts(rows, make, "id long, y int, x array<float>", ["__id", "y", "text"]).collect()
+    got.sort(key=lambda r: (r.id, r.y, r.x))
+    return fit_network(model, np.array([r.x for r in got], np.float32).reshape(-1, 2 * DIM), np.array([r.y for r in got]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> DataFrame:
     """text and label of at most so many labelled documents outside the held-out fold."""
     lab = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isNotNull() & (crc_fold("__id") != 0))
@@ -202,8 +266,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, w
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.3)."""
-    rows = labelled_sample(docs, labels, "quality", TRAIN_ROWS).collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit([r.text or "" for r in rows], [r.y for r in rows]))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def make():
         def run(batch):
@@ -218,8 +281,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs that score at least `cut`, all columns as they were."""
-    rows = labelled_sample(docs, labels, "quality", TRAIN_ROWS).collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit([r.text or "" for r in rows], [r.y for r in rows]))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("boolean")
     def good(texts):

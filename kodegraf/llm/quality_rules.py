@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kodegraf.llm.common import U, map_texts, mix64, sample_rows, texts_of
+from kodegraf.llm.common import U, map_texts, mix64, sampled, texts_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -179,7 +179,7 @@ def first_rejection(t: Text, ordered: list[Rule]) -> str | None:
 
 def _sampled(docs: DataFrame) -> list[str]:
     fair = docs.where(F.length("text") <= SAMPLE_CHARS)
-    return [r.text for r in sample_rows(fair, SAMPLE_ROWS, ["doc_id", "text"])]
+    return [r.text for r in sampled(fair, SAMPLE_ROWS, ["text"]).collect()]
 
 
 def _sorted(rules: tuple[Rule, ...], order: list[str]) -> list[Rule]:

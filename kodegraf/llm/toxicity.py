@@ -8,7 +8,8 @@ word rates (words and their beginnings). With the class prior pi the risk is
 and where the corrected part falls below zero the step goes the other way, as
 the non-negative estimator asks. Words enter if they are frequent enough and
 their share of texts in P is twice that in U and a few standard errors above. Three
-classifiers on different halves of U are averaged.
+classifiers on different halves of U are averaged. The sampled texts are counted
+on the executors; the driver sees the words that are chosen and their rates.
 
 Only labels outside the held-out fold are read, and of these the toxic rows plus
 the class prior; lang, source, n_chars and doc_id are no inputs of a score.
@@ -25,11 +26,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kodegraf.llm.common import crc_fold, map_texts, sample_rows, texts_of
+from kodegraf.llm.common import batches, crc_fold, map_texts, sampled, saved, texts_of
 from kodegraf.llm.quality_classifier import labelled_sample
 
 #: Bounds of the samples on which the classifiers are fitted.
@@ -77,9 +78,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    return [xxhash.xxh64_intdigest(word, 1), *(xxhash.xxh64_intdigest(word[:n], 2) for n in PREFIXES if n < len(word))]
+def features(word: str) -> list[str]:
+    """A word and its beginnings, told apart by a sign."""
+    return ["=" + word, *("^" + word[:n] for n in PREFIXES if n < len(word))]
 
 
 def rate(count: np.ndarray, n_words: int) -> np.ndarray:
@@ -87,33 +88,80 @@ def rate(count: np.ndarray, n_words: int) -> np.ndarray:
     return np.minimum(MOST_RATE, 100.0 * count / max(1, n_words))
 
 
-def rates(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text, sorted, and their rates."""
-    words = Counter(WORD.findall(text.lower()))
-    pairs = [(f, n) for w, n in words.items() for f in features(w)]
-    own, at = np.unique(np.array([f for f, _ in pairs], np.uint64), return_inverse=True)
-    return own, rate(np.bincount(at, weights=[n for _, n in pairs], minlength=len(own)), words.total()).astype(np.float32)
+def counts_of(text: str) -> tuple[Counter, int]:
+    """How often each feature occurs in a text, and the number of its words."""
+    words, out = Counter(WORD.findall(text.lower())), Counter()
+    for w, n in words.items():
+        for f in features(w):
+            out[f] += n
+    return out, words.total()
 
 
-def _matrix(rows: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (own, r) in enumerate(rows):
-        _, a, b = np.intersect1d(own, chosen, assume_unique=True, return_indices=True)
-        x[i, b] = r[a]
-    return x
+def _texts_with(it):
+    """Of each batch the number of positive texts and of all that hold a feature."""
+    for b in batches(it):
+        own, every = Counter(), Counter()
+        for positive, text in zip(b.column("p").to_pylist(), texts_of(b)):
+            found = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+            every.update(found)
+            if positive:
+                own.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([own[f] for f in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["f", "in_p", "n"])
+
+
+def chosen_features(rows: DataFrame, n: int, k: int) -> list[str]:
+    """At most MOST_FEATURES, the clearest: far more often in the n positive texts than in the k unlabelled ones."""
+    held = rows.select("p", "text").mapInArrow(_texts_with, "f string, in_p long, n long").groupBy("f").agg(F.sum("in_p").alias("in_p"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    share, p, u = (F.col("n") + 1) / F.lit(n + k + 2.0), F.col("in_p") / F.lit(float(n)), (F.col("n") - F.col("in_p")) / F.lit(float(k))
+    z = (p - u) / F.sqrt(share * (1 - share) * F.lit(1 / n + 1 / k))
+    top = held.where(p >= LEAST_LIFT * u).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES)
+    return sorted(r.f for r in top.collect())
+
+
+def matrices(rows: DataFrame, chosen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of the chosen features in the positive and in the unlabelled texts."""
+    at = {f: i for i, f in enumerate(chosen)}
+
+    def make():
+        def run(batch):
+            cols, rates = [], []
+            for text in texts_of(batch):
+                count, words = counts_of(text)
+                on = sorted(at[f] for f in count if f in at)
+                cols.append(on)
+                rates.append(rate(np.array([count[chosen[c]] for c in on], float), words).tolist())
+            return {"p": batch.column("p"), "h": batch.column("h"), "cols": pa.array(cols, pa.list_(pa.int32())), "rates": pa.array(rates, pa.list_(pa.float64()))}
+
+        return run
+
+    got = map_texts(rows, make, "p boolean, h long, cols array<int>, rates array<double>", ["p", "h", "text"]).collect()
+    got.sort(key=lambda r: (r.h, r.cols))
+    out = []
+    for positive in (True, False):
+        own = [r for r in got if r.p == positive]
+        x = np.zeros((len(own), len(chosen)), np.float32)
+        for i, r in enumerate(own):
+            x[i, r.cols] = r.rates
+        out.append(x)
+    return out[0], out[1]
+
+
+def risk_gradient(w: np.ndarray, b: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[bool, np.ndarray]:
+    """Whether the corrected part of the risk is below zero, and the gradient (by w and b) of the risk, or of that part turned round."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    zp, zu = p @ w + b, u @ w + b
+    below = bool(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() < 0)
+    plus, minus, all_u = prior * (sig(zp) - 1) / len(zp), prior * sig(zp) / len(zp), sig(zu) / len(zu)
+    dp, du = (minus, -all_u) if below else (plus - minus, all_u)
+    return below, np.append(p.T @ dp + u.T @ du, dp.sum() + du.sum())
 
 
 def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, decay: float = 3e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and offset that minimise the non-negative risk with the logistic loss."""
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_plus, gp_minus, gu = prior * (sig(zp) - 1) / len(zp), prior * sig(zp) / len(zp), sig(zu) / len(zu)
-        dp, du = (gp_plus - gp_minus, gu) if negative >= 0 else (gp_minus, -gu)
-        g = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
+        g = risk_gradient(w, b, p, u, prior)[1] + decay * np.append(w, 0.0)
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -121,39 +169,27 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, decay: fl
     return w, float(b)
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, models: int = 3) -> Model:
-    if not positive or not unlabelled or not 0 < prior < 1:
+def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, models: int = 3) -> Model:
+    """From the texts of confirmed toxic and of unlabelled rows."""
+    h = F.xxhash64("text").alias("h")
+    rows = saved(positive.select(F.lit(True).alias("p"), h, "text").unionByName(unlabelled.select(F.lit(False).alias("p"), h, "text")), "sampled")
+    sizes = {r.p: r.n for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    n, k = sizes.get(True, 0), sizes.get(False, 0)
+    if not n or not k or not 0 < prior < 1:
         return Model({}, {}, np.zeros((1, 0)), np.zeros(1), float(min(max(prior, 0.0), 1.0)))
-    ps, us = [rates(t) for t in positive], [rates(t) for t in unlabelled]
-    n, k = len(ps), len(us)
-    every, counts = np.unique(np.concatenate([f for f, _ in ps + us]), return_counts=True)
-    every, counts = every[counts >= LEAST_DOCS], counts[counts >= LEAST_DOCS]
-    own, of = np.unique(np.concatenate([f for f, _ in ps]), return_counts=True)
-    in_p = np.zeros(len(every))
-    in_p[np.isin(every, own)] = of[np.isin(own, every)]
-    share = (counts + 1) / (n + k + 2)
-    in_u = counts - in_p
-    z = (in_p / n - in_u / k) / np.sqrt(share * (1 - share) * (1 / n + 1 / k))
-    z[in_p / n < LEAST_LIFT * in_u / k] = 0
-    # At most MOST_FEATURES, the clearest first: bounds the model that is broadcast.
-    chosen = np.sort(every[(order := np.argsort(-z, kind="stable")[:MOST_FEATURES])[z[order] >= LEAST_Z]])
-    p, u = _matrix(ps, chosen), _matrix(us, chosen)
+    chosen = chosen_features(rows, n, k)
+    p, u = matrices(rows, chosen)
     rng = np.random.default_rng(5)
     fits = [nnpu(p, u[rng.permutation(k)[: max(1, (k + 1) // 2)]], prior) for _ in range(models)]
-    at = {int(f): i for i, f in enumerate(chosen)}
-    words, heads = {}, {}
-    for w in {w for t in (*positive, *unlabelled) for w in WORD.findall(t.lower())}:
-        own, *begins = features(w)
-        if own in at:
-            words[w] = at[own]
-        heads |= {w[:n]: at[f] for n, f in zip(PREFIXES, begins) if f in at}
+    words = {f[1:]: i for i, f in enumerate(chosen) if f[0] == "="}
+    heads = {f[1:]: i for i, f in enumerate(chosen) if f[0] == "^"}
     return Model(words, heads, np.stack([w for w, _ in fits]), np.array([b for _, b in fits]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.5). prior: share of toxic texts; by default that of the labels read."""
-    positive = [r.text or "" for r in labelled_sample(docs, labels, "toxic", POSITIVE_ROWS, F.col("__y") == 1).collect()]
-    unlabelled = [r.text or "" for r in sample_rows(docs, UNLABELLED_ROWS, [F.col("text").cast("string").alias("text")], seed=31)]
+    positive = labelled_sample(docs, labels, "toxic", POSITIVE_ROWS, F.col("__y") == 1).select("text")
+    unlabelled = sampled(docs, UNLABELLED_ROWS, [F.col("text").cast("string").alias("text")], seed=31)
     if prior is None:
         shown = labels.where(crc_fold("doc_id") != 0).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first().p
         prior = float(shown or 0.0)
