@@ -237,10 +237,11 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
 
 def ranked(cut: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
     """Adds rank: a number from 0 within rows of the same length, gapless."""
-    rows = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # The checksum spreads pieces without a doc_id.
+    rows = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     return rows.withColumn("inside", inside).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inside") - 1).drop("bucket", "base", "inside")
 
 
@@ -264,6 +265,6 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(cut).select(*columns).mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return placed(saved(pieces(docs, path, capacity), "pieces"), capacity)
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids: the tokens of each piece."""
+    return placed(saved(pieces(docs, path, capacity, with_ids), "pieces"), capacity)

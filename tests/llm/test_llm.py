@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -290,6 +291,80 @@ def test_classifiers_take_odd_inputs(spark, odd_texts, labelled, run):
     assert run(docs.limit(0), labels).count() == 0
 
 
+def test_context_sums_match_a_plain_loop():
+    rng = random.Random(6)
+    texts = [["the", "The", "!!", "a", "a", "zz9", "7"][: rng.randint(0, 7)] * rng.randint(1, 3) for _ in range(20)]
+    words, shapes = {"the": 0, "a": 1}, {x: i for i, x in enumerate(sorted({quality_classifier.shape(t) for t in ["the", "The", "!!", "7"]} | {quality_classifier.SAME}))}
+    got_w, got_s = quality_classifier.context_sums(texts, words, shapes)
+    unit = np.sqrt(quality_classifier.NONZERO)
+    vector = lambda t: (quality_classifier.index_vector(t.lower()) if t.lower() in words else 0) + quality_classifier.index_vector(quality_classifier.shape(t))
+    want_w, want_s = np.zeros(got_w.shape), np.zeros(got_s.shape)
+    for tokens in texts:
+        for i, t in enumerate(tokens):
+            for j in range(max(0, i - 2), min(len(tokens), i + 3)):
+                if i != j:
+                    if t.lower() in words:
+                        want_w[words[t.lower()]] += vector(tokens[j]) * unit
+                    want_s[shapes[quality_classifier.shape(t)]] += vector(tokens[j]) * unit
+                    if i and tokens[i - 1] == t:
+                        want_s[shapes[quality_classifier.SAME]] += vector(tokens[j]) * unit
+    np.testing.assert_allclose(got_w, want_w, atol=1e-3)
+    np.testing.assert_allclose(got_s, want_s, atol=1e-3)
+
+
+def slopes(loss, params, eps=1e-5):
+    out = []
+    for p in params:
+        g = np.zeros_like(p)
+        for i in np.ndindex(p.shape):
+            keep = p[i]
+            p[i] = keep + eps
+            up = loss()
+            p[i] = keep - eps
+            g[i] = (up - loss()) / (2 * eps)
+            p[i] = keep
+        out.append(g)
+    return out
+
+
+def test_network_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    z, y = rng.normal(size=(12, 5)), rng.integers(0, 2, 12).astype(float)
+    p = [rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+
+    def loss():
+        s = np.tanh(z @ p[0] + p[1]) @ p[2] + p[3]
+        return np.mean(np.logaddexp(0, s) - y * s) + 0.5e-4 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    for got, want in zip(quality_classifier.network_gradient(p, z, y), slopes(loss, p)):
+        np.testing.assert_allclose(got, want, atol=1e-7)
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_risk_gradient_is_that_of_the_non_negative_risk(shift):
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(size=(9, 4)), rng.normal(size=(20, 4)) + shift, 0.4
+    params = [np.ones(4), np.array([0.3])]
+
+    def parts():
+        zp, zu = p @ params[0] + params[1], u @ params[0] + params[1]
+        return prior * sum(np.log1p(np.exp(-z)) for z in zp) / 9, sum(np.log1p(np.exp(z)) for z in zu) / 20 - prior * sum(np.log1p(np.exp(z)) for z in zp) / 9
+
+    below, got = toxicity.risk_gradient(params[0], params[1][0], p, u, prior)
+    assert below == (parts()[1] < 0) == (shift < 0)
+    want = slopes((lambda: -parts()[1]) if below else (lambda: sum(parts())), params)
+    np.testing.assert_allclose(got, np.concatenate(want), atol=1e-7)
+
+
+def test_samples_hold_rows_without_an_id_alike(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(500)] + [(1, None)], "doc_id long, text string")
+    from kodegraf.llm.common import sampled
+
+    a, b = (sorted(map(str, sampled(x, 50, ["text"]).toPandas().text)) for x in (docs, docs.repartition(7)))
+    assert a == b and len(a) == 50
+    assert sampled(docs.limit(0), 50, ["text"]).count() == 0
+
+
 def test_held_out_labels_are_not_read(labelled):
     from pyspark.sql import functions as F
 
@@ -537,6 +612,20 @@ def test_packing_is_gapless_whole_and_tight(spark, odd_texts):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_patterns_are_all_and_least_squares_are_optimal():
+    for bins, most in ((7, 3), (12, 4)):
+        want = {p for k in range(1, most + 1) for p in itertools.combinations_with_replacement(range(1, bins + 1), k) if sum(p) == bins}
+        got = [tuple(sorted(x for x in r if x)) for r in packing.patterns(bins, most).tolist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        a, y = rng.integers(0, 3, (6, 9)).astype(float), rng.random(6) * 50
+        x = packing.nonnegative_least_squares(a, y, 20_000)
+        slope = a.T @ (a @ x - y)
+        # The conditions of an optimum: no slope where x is positive, none downhill where it is zero.
+        assert (x >= 0).all() and np.abs(slope[x > 1e-6]).max(initial=0) < 1e-2 and slope.min() > -1e-2
+
+
 def test_plan_holds_the_histogram():
     rng = np.random.default_rng(0)
     h = collections.Counter(np.minimum(2048, rng.lognormal(6, 1, 20_000).astype(int) + 1).tolist())
@@ -633,7 +722,9 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(seen["quality_classifier"].doc_id) == set(range(140))
     assert set(seen["near_duplicates"].doc_id) == set(range(120))
     assert not seen["personal_data"].text.str.contains("@").any()
-    assert set(seen["packing"].columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert set(seen["packing"].columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}
+    for r in seen["packing"].itertuples():
+        assert len(r.ids) == r.length and zlib.crc32(np.asarray(r.ids, "<u4").tobytes()) == r.ids_crc32
     for name in list(seen)[:-1]:
         assert seen[name].columns.tolist() == ["doc_id", "text", "lang", "source", "n_chars"]
     assert cp.run(spark, str(tmp_path)).count() == len(seen["packing"])
