@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, packed into sequences."""
-    return packing.packed(docs)
+    """Pieces with their token ids, packed into sequences."""
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES = [
