@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no meaning in a query, and words that make it a question.
+# Words that carry no meaning in a query, and words that make it a question. Words that are code terms too (get, set, has, all, if, ...) are none of them.
 STOP_WORDS = (
-    "a an and are as at be but by can could did do does for from had has have how i if in into is it its me my of on or "
-    "our should that the their them then there these they this to was we were what when where which who whose why will with would you your"
+    "a an the of to in on at by for with from as is are was were be do does did how what where when why who which "
+    "i my me it its this that and or can could would should will shall there"
 ).split()
-QUESTION_WORDS = "how what when where which who whose why".split()
+QUESTION_WORDS = "how what where when why who which".split()
 FIELD = r"[\p{L}\p{Nd}_]+"
 #: Between lower case or digit and upper case, before the last capital of an acronym, between letters and digits, and at separators.
 BOUNDARY = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})|[^\p{L}\p{Nd}]+"
@@ -65,10 +65,15 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(kept))
 
 
+def query_words(text: str) -> list[str]:
+    """Whole tokens of a query, as segments of a path are cut: underscores part them."""
+    return [t.lower() for t in re.findall(r"[^\W_]+", text)]
+
+
 def is_question(text: str) -> bool:
     """A natural question: a question word and two meaningful terms, or more than three meaningful terms."""
     tokens = query_fields(text)
-    n = len([t for t in dict.fromkeys(tokens) if t not in STOP_WORDS])
+    n = len([t for t in tokens if t not in STOP_WORDS] or tokens)
     return n > 3 or (n >= 2 and any(t in QUESTION_WORDS for t in tokens))
 
 

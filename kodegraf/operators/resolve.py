@@ -99,16 +99,24 @@ def as_of_binding(uses: DataFrame, bindings: DataFrame) -> DataFrame:
 def bind_comments(comments: DataFrame, nodes: DataFrame, code_lines: DataFrame) -> DataFrame:
     """(node_id, comment_id): the first comment of a file that ends above a node with nothing but blank, comment and decorator lines between.
 
-    code_lines (file_path, line) are the other lines. The last code line before
-    a node bounds how far up a comment may end: windows over lines, no pairs.
+    code_lines (file_path, line and, for runs of lines, end_line) are the other
+    lines. The last code line up to a comment's end and that before a node agree
+    exactly if none lies between: both come from one window over the lines of a
+    file, and comments meet nodes by equality.
     """
-    marks = code_lines.select("file_path", F.col("line").alias("l"), F.lit(1).alias("what"), F.lit(None).cast("long").alias("node_id"))
-    heads = nodes.select("file_path", F.col("start_line").cast("long").alias("l"), F.lit(0).alias("what"), "node_id")
-    before = Window.partitionBy("file_path").orderBy("l", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    floor = marks.unionByName(heads).withColumn("low", F.coalesce(F.max(F.when(F.col("what") == 1, F.col("l"))).over(before), F.lit(0))).where("what = 0").select("file_path", "node_id", F.col("l").alias("start"), "low")
-    c = comments.select("file_path", "comment_id", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    ok = floor.join(c, "file_path").where("ce < start and ce > low")
-    return ok.groupBy("node_id").agg(F.min_by("comment_id", F.struct("cs", "comment_id")).alias("comment_id"))
+    end = F.col("end_line") if "end_line" in code_lines.columns else F.col("line")
+    run = F.struct(F.col("line").cast("long").alias("s"), end.cast("long").alias("e"))
+    none = F.lit(None).cast(run_type := "struct<s: bigint, e: bigint>")
+    marks = code_lines.select("file_path", F.col("line").cast("long").alias("at"), F.lit(0).alias("what"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("cs"), run.cast(run_type).alias("run"))
+    # Before a node counts what lies above its line; a comment's last line counts whole.
+    heads = nodes.select("file_path", (F.col("start_line") - 1).cast("long").alias("at"), F.lit(1).alias("what"), F.col("node_id").alias("id"), F.lit(None).cast("long").alias("cs"), none.alias("run"))
+    said = comments.select("file_path", F.col("end_line").cast("long").alias("at"), F.lit(2).alias("what"), F.col("comment_id").alias("id"), F.col("start_line").cast("long").alias("cs"), none.alias("run"))
+    before = Window.partitionBy("file_path").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("run", ignorenulls=True).over(before)
+    placed = marks.unionByName(heads).unionByName(said).withColumn("run", last).withColumn("low", F.when(F.col("run").isNull(), 0).otherwise(F.least("run.e", "at")))
+    first = placed.where("what = 2").groupBy("file_path", "low").agg(F.min(F.struct("cs", F.col("id").alias("comment_id"), F.col("at").alias("ce"))).alias("c"))
+    found = placed.where("what = 1").join(first, ["file_path", "low"]).where("c.ce <= at")
+    return found.select(F.col("id").alias("node_id"), "c.comment_id")
 
 
 def package_contains(packages: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kodegraf.schema import CROSS_REF_KIND, IDENTITY, PLACE
+from kodegraf.sources.work import saved
 
 
 def in_namespaces(df: DataFrame, namespaces: list[str] | None) -> DataFrame:
@@ -35,8 +36,8 @@ def nodes_by_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_state(nodes: DataFrame) -> DataFrame:
-    """Id, path and extent of everything but packages."""
-    return nodes.where(F.col("kind") != "package").select("node_id", "file_path", "end_line")
+    """Id, path and hash of everything but packages."""
+    return nodes.where(F.col("kind") != "package").select("node_id", "file_path", "hash")
 
 
 def nodes_of_kinds(nodes: DataFrame, kinds: list[str]) -> DataFrame:
@@ -139,3 +140,12 @@ def identity(df: DataFrame | None = None) -> list[Column]:
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row a key: the first in the given order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+
+
+def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Adds each row's number from 1 in the order, which must be total: rows are sorted in ranges, whose sizes tell where each range begins. No task sees all rows."""
+    ranges = saved(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    base = ranges.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__base")
+    return ranges.join(base, "__range").withColumn(name, number.cast("long")).drop("__range", "__base")

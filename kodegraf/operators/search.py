@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +15,26 @@ K1, B = 1.2, 0.75
 HITS_OF_A_PAGE = 50
 
 
+# What people call the languages of file extensions.
+LANGUAGE_NAMES = {"py": "python", "ts": "typescript", "rb": "ruby", "js": "javascript", "rs": "rust", "kt": "kotlin", "luau": "lua"}
+
+
+def said(tags: DataFrame) -> DataFrame:
+    """node_id, said: summary, context and the values of the tags of a node, in order, from (node_id, summary, context, kind, value, position)."""
+    texts = F.array_sort(F.collect_list(F.struct("position", "value")))
+    parts = F.concat(F.array(F.first("summary"), F.first("context")), F.transform(texts, lambda t: t["value"]))
+    return tags.groupBy("node_id").agg(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ").alias("said"))
+
+
 def document_text(nodes: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
-    """namespace, node_id, content: name, qualified name, kind, their distinct parts, parts of the file's name, and what annotations say."""
-    base = F.regexp_extract("file_path", r"([^/]*)$", 1)
+    """namespace, node_id, content: name, qualified name, kind, their distinct parts, parts of the file's name with its language, and what annotations (node_id, said) say."""
+    base = F.lower(F.regexp_extract("file_path", r"([^/]*)$", 1))
     parts = F.array_distinct(F.concat(tk.split_identifier(F.col("name")), tk.split_identifier(F.col("qualified_name"))))
-    text = [F.col("name"), F.col("qualified_name"), F.col("kind"), F.array_join(parts, " "), F.array_join(F.array_distinct(tk.split_identifier(base)), " ")]
+    cut = F.split(base, "[.]")
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair])
+    alias = F.when(F.size(cut) > 1, F.try_element_at(names, F.element_at(cut, -1)))
+    file = F.concat_ws(" ", F.filter(cut, lambda x: x != ""), alias)
+    text = [F.col("name"), F.col("qualified_name"), F.col("kind"), F.array_join(parts, " "), file]
     rows = nodes
     if annotations is not None:
         rows = nodes.join(annotations.select("node_id", "said"), "node_id", "left")
@@ -33,50 +49,62 @@ def reason_rows(tags: DataFrame) -> DataFrame:
     return rows.select("namespace", "node_id", F.trim("value").alias("content")).where("content <> ''")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """namespace, token, node_id, tf."""
-    return docs.select("namespace", "node_id", F.explode(tk.fields(F.col("content"))).alias("token")).groupBy("namespace", "token", "node_id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc_key: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """namespace, doc_key, token, tf, len: how often a document holds a token, and its number of tokens. One pass over the documents."""
+    toks = docs.select("namespace", *doc_key, tk.fields(F.col("content")).alias("t"))
+    each = toks.select("namespace", *doc_key, F.size("t").cast("long").alias("len"), F.explode("t").alias("token"))
+    return each.groupBy("namespace", *doc_key, "token", "len").agg(F.count("*").alias("tf"))
 
 
-def group_matches(toks: Column, term: str) -> Column:
-    """A query term as a group: a token begins with it, or its parts each begin a token."""
-    begins = lambda t: F.exists(toks, lambda x: F.startswith(x, F.lit(t)))
-    parts = tk.query_parts(term)
-    whole = begins(term.lower())
-    return whole | reduce(Column.__and__, map(begins, parts)) if len(parts) > 1 else whole
+def corpus(docs: DataFrame) -> DataFrame:
+    """namespace, corpus: the number of documents."""
+    return docs.groupBy("namespace").agg(F.count("*").alias("corpus"))
 
 
-def strict_match(docs: DataFrame, query: str) -> DataFrame:
-    """Documents that every term of the query matches."""
-    terms = [t for t in query.split() if tk.query_fields(t)]
-    if not terms:
-        return docs.limit(0)
-    toks = docs.withColumn("__t", F.concat(tk.fields(F.col("content")), tk.split_identifier(F.col("content"))))
-    return toks.where(reduce(Column.__and__, (group_matches(F.col("__t"), t) for t in terms))).drop("__t")
+def _begins(column: str, prefixes: list[str]) -> Column:
+    """Whether the column begins with one of the prefixes: comparisons that a scan can prune by."""
+    return reduce(Column.__or__, (F.startswith(F.col(column), F.lit(p)) for p in prefixes))
+
 
+def strict_match(index: DataFrame, query: str) -> DataFrame:
+    """namespace, node_id of the documents that every term of the query matches, from postings.
+
+    A term matches if a token begins with it, or if its parts each begin a
+    token. A query without a term matches nothing.
+    """
+    groups = [(t.lower(), tk.query_parts(t)) for t in query.split() if tk.query_fields(t)]
+    groups = [(f, p) for t, p in groups for f in ([t] if tk.query_fields(t) == [t] else tk.query_fields(t))]
+    if not groups:
+        return index.select("namespace", "node_id").limit(0)
+    prefixes = list(dict.fromkeys(x for t, p in groups for x in (t, *p)))
+    held = index.where(_begins("token", prefixes)).groupBy("namespace", "node_id").agg(*[F.bool_or(F.startswith("token", F.lit(x))).alias(f"__{i}") for i, x in enumerate(prefixes)])
+    has = lambda x: F.col(f"__{prefixes.index(x)}")
+    group = lambda t, p: has(t) | reduce(Column.__and__, map(has, p)) if p else has(t)
+    return held.where(reduce(Column.__and__, (group(t, p) for t, p in groups))).select("namespace", "node_id")
 
-def _match(term_col: Column, token_col: Column, prefix: Column) -> Column:
-    return F.when(prefix, F.startswith(token_col, term_col)).otherwise(token_col == term_col)
 
+def _term_hits(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of tokens that match a term, with the term, a row for each."""
+    want = F.array(*[F.when(F.startswith("token", F.lit(t)) if tk.matches_by_prefix(t) else F.col("token") == t, F.lit(t)) for t in terms])
+    near = reduce(Column.__or__, (F.startswith("token", F.lit(t)) if tk.matches_by_prefix(t) else F.col("token") == t for t in terms))
+    return index.where(near).withColumn("term", F.explode(F.array_compact(want)))
 
-def bm25(docs: DataFrame, terms: list[str], corpus_size: DataFrame | None = None, doc_key: list[str] | None = None) -> DataFrame:
-    """namespace, node_id, score, n_terms of nodes that match any term.
+
+def bm25(index: DataFrame, terms: list[str], sizes: DataFrame, doc_key: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """namespace, node_id, score, n_terms of nodes that match any term, from postings and corpus sizes.
 
     Average length and document frequencies are those of the matched documents;
     the corpus size is that of all documents of the namespace. A node's credit
-    for a term is the largest over its documents.
+    for a term is the largest over its documents. Only the postings of the
+    terms are read.
     """
-    doc_key = doc_key or ["node_id"]
-    keys = ["namespace", *doc_key]
-    toks = docs.withColumn("__t", tk.fields(F.col("content")))
-    want = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(tk.matches_by_prefix(t)).alias("p")) for t in terms])
-    hits = F.filter(F.transform(want, lambda w: F.struct(w["term"].alias("term"), F.size(F.filter(F.col("__t"), lambda x: _match(w["term"], x, w["p"]))).alias("tf"))), lambda h: h["tf"] > 0)
-    matched = toks.select(*dict.fromkeys([*keys, "node_id"]), F.size("__t").alias("len"), hits.alias("hits")).where(F.size("hits") > 0)
-    size = corpus_size if corpus_size is not None else docs.groupBy("namespace").agg(F.count("*").alias("corpus"))
-    stats = matched.groupBy("namespace").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_matched"))
-    one = matched.select(*dict.fromkeys([*keys, "node_id"]), "len", F.inline("hits"))
+    if not terms:
+        return index.select("namespace", "node_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms")).limit(0)
+    keys = list(dict.fromkeys(["namespace", *doc_key, "node_id"]))
+    one = _term_hits(index, terms).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
     df = one.groupBy("namespace", "term").agg(F.count("*").alias("df"))
-    full = one.join(df, ["namespace", "term"]).join(stats, "namespace").join(size, "namespace").withColumn("N", F.greatest("corpus", "n_matched"))
+    matched = one.groupBy(*keys).agg(F.first("len").alias("len")).groupBy("namespace").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n_matched"))
+    full = one.join(df, ["namespace", "term"]).join(matched, "namespace").join(sizes, "namespace").withColumn("N", F.greatest("corpus", "n_matched"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     best = full.groupBy("namespace", "node_id", "term").agg(F.max(weight).alias("w"))
@@ -89,93 +117,103 @@ def ranked(scored: DataFrame, limit: int, order: tuple[str, ...] = ("namespace",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def answerable(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """namespace, n_terms_found, can_answer: whether half of the terms occur in some reason."""
-    toks = docs.withColumn("__t", tk.fields(F.col("content")))
-
-    def has_term(t: str) -> Column:
-        return F.bool_or(F.exists("__t", lambda x: F.startswith(x, F.lit(t)) if tk.matches_by_prefix(t) else x == t)).cast("int")
-
-    has = [has_term(t) for t in terms]
-    found = reduce(Column.__add__, has)
-    return toks.groupBy("namespace").agg(found.cast("long").alias("n_terms_found")).withColumn("can_answer", 2 * F.col("n_terms_found") >= len(terms))
+def answerable(index: DataFrame, terms: list[str], sizes: DataFrame) -> DataFrame:
+    """namespace, n_terms_found, can_answer: whether half of the terms occur in some reason; none of no terms."""
+    if not terms:
+        return sizes.select("namespace", F.lit(0).cast("long").alias("n_terms_found"), F.lit(False).alias("can_answer"))
+    found = _term_hits(index, terms).groupBy("namespace").agg(F.countDistinct("term").alias("n"))
+    out = sizes.join(found, "namespace", "left").select("namespace", F.coalesce("n", F.lit(0)).cast("long").alias("n_terms_found"))
+    return out.withColumn("can_answer", 2 * F.col("n_terms_found") >= len(terms))
 
 
 # --- structural order ----------------------------------------------------------------
 
 
 def path_score(query: str) -> Column:
-    """Share of the query's tokens that are segments of the path."""
-    whole = list(dict.fromkeys(tk.query_fields(query)))
-    segments = F.filter(F.transform(F.split("file_path", "[/._-]"), F.lower), lambda s: s != "")
+    """Share of the query's whole tokens that are segments of the path."""
+    whole = tk.query_words(query)
+    segments = F.split(F.lower("file_path"), "[/._-]")
     return (reduce(Column.__add__, [F.array_contains(segments, t).cast("int") for t in whole]) / F.lit(float(len(whole)))) if whole else F.lit(0.0)
 
 
-def subsequence_score(query: str, target: str) -> float:
-    """Best alignment of query inside target, both lower case, from 0 to 1.
+# What a matched character earns at the start of a name, at the start of a word in it, behind the last match and elsewhere; what a skipped one costs; the penalty of a longer name.
+NAME_START, WORD_START, CONSECUTIVE, SCATTERED = 1.0, 0.8, 0.7, 0.3
+GAP, TAIL = 0.2, 0.06
+#: A method may be found by its type, at this share of the score.
+RECEIVER = 0.5
+
+
+def word_starts(name: str) -> np.ndarray:
+    """What a match earns at each character of a name by its place alone; 0 inside of words."""
+    out = np.zeros(len(name))
+    for i, c in enumerate(name):
+        if i == 0:
+            out[i] = NAME_START
+        elif name[i - 1] in "._-" or c.isupper() and (not name[i - 1].isupper() or name[i + 1 : i + 2].islower()):
+            out[i] = WORD_START
+    return out
 
-    A matched character earns most at the start, less behind the last match,
-    at a boundary and elsewhere; skipped characters and a longer target cost.
+
+def subsequence_score(query: str, name: str) -> float:
+    """The best alignment of the characters of a query, in order, inside a name.
+
+    best[j] is the best alignment so far whose last character stands at j. The
+    next one follows it, or stands behind a gap: for that the running maximum of
+    best, with the gaps' cost taken out, gives all earlier ends at once.
+    Characters before the first match cost nothing.
     """
-    q, t = query, target
-    if not q or len(q) > len(t):
+    n, m = len(query), len(name)
+    if not n or n > m:
         return 0.0
-    n, m = len(q), len(t)
-    neg = float("-inf")
-    prev = [neg] * m
-    for i in range(n):
-        cur, run = [neg] * m, neg
-        for j in range(m):
-            if j and i:
-                # Best earlier end, less the gap to here.
-                run = max(run - 0.2, prev[j - 1]) if j - 1 >= 0 else neg
-            if q[i] != t[j]:
-                continue
-            edge = j == 0 or t[j - 1] in "_./- "
-            if i == 0:
-                cur[j] = (1.0 if j == 0 else 0.7 if edge else 0.3) - 0.2 * j
-            else:
-                near = prev[j - 1] + 0.8 if j and prev[j - 1] > neg else neg
-                far = run + (0.7 if edge else 0.3) if run > neg else neg
-                cur[j] = max(near, far)
-        prev = cur
-    best = max(prev)
-    if best == neg:
-        return 0.0
-    top = 1.0 + 0.8 * (n - 1)
-    return max(0.0, best / top / (1 + 0.06 * (m - n)))
+    low = np.array([c.lower()[:1] for c in name])
+    place, at = word_starts(name), np.arange(m)
+    alone, behind = np.where(place > 0, place, SCATTERED), np.where(place > 0, place, CONSECUTIVE)
+    best = None
+    for c in query.lower():
+        if best is None:
+            score = alone
+        else:
+            next_to, far = np.full(m, -np.inf), np.full(m, -np.inf)
+            next_to[1:] = best[:-1] + behind[1:]
+            far[2:] = np.maximum.accumulate(best + GAP * at)[:-2] - GAP * (at[2:] - 1) + alone[2:]
+            score = np.maximum(next_to, far)
+        best = np.where(low == c, score, -np.inf)
+    top = float(best.max())
+    return max(0.0, top) / n / (1 + TAIL * (m - n)) if top > -np.inf else 0.0
+
+
+def name_likeness(query: str):
+    """A function of a name and a qualified name: the best likeness to the name, the last part of the qualified name and, at a discount, its receiver."""
+    parts, joined = tk.query_parts(query), "".join(tk.query_parts(query))
+    single = all(len(p) == 1 for p in parts)
 
+    def like(target: str) -> float:
+        if not parts or not target:
+            return 0.0
+        each = [subsequence_score(p, target) for p in parts]
+        # A single character is no evidence beside longer parts.
+        told = any(x > 0 and (single or len(p) > 1) for p, x in zip(parts, each))
+        return max(sum(each) / len(each) if told else 0.0, subsequence_score(joined, target) if len(parts) > 1 else 0.0)
 
-def name_scores(pool: DataFrame, query: str) -> DataFrame:
-    """Adds name_score: the best likeness of the query to the name, the last part of the qualified name, or, at half weight, its receiver. For pools, not for whole tables."""
-    import pandas as pd
+    def score(name: str | None, qualified: str | None) -> float:
+        segments = (qualified or "").split(".")
+        return max(like(name or ""), like(segments[-1]), RECEIVER * like(segments[-2]) if len(segments) > 2 else 0.0)
 
-    parts, joined = tk.query_parts(query), "".join(tk.query_parts(query))
+    return score
 
-    def like(name: str) -> float:
-        own = tk.query_parts(name)
-        whole = subsequence_score(joined, "".join(own))
-        each = [max((subsequence_score(p, o) for o in own), default=0.0) for p in parts]
-        return max(whole, sum(each) / len(each) if each and max(each) >= 0.5 else 0.0)
+
+def name_scores(pool: DataFrame, query: str) -> DataFrame:
+    """Adds name_score. For pools, not for whole tables."""
+    import pandas as pd
 
     @F.pandas_udf("double")
     def score(name, qualified):
-        def one(n, q):
-            segs = [s for s in (q or "").replace("::", ".").split(".") if s]
-            got = [like(n or ""), like(segs[-1]) if segs else 0.0]
-            return max(*got, 0.5 * like(segs[-2]) if len(segs) >= 3 else 0.0)
-
-        return pd.Series([one(n, q) for n, q in zip(name, qualified)])
+        one = name_likeness(query)
+        return pd.Series([one(n, q) for n, q in zip(name, qualified)], dtype=float)
 
     return pool.withColumn("name_score", score("name", "qualified_name"))
 
 
-def exact_name_score(query: str) -> Column:
-    """The part of the name score that SQL can tell: 1 for the name itself, in part for a prefix, 0 else."""
-    q, name = F.lit(query.lower()), F.lower("name")
-    return F.when(name == q, 1.0).when(F.startswith(name, q), 1 / (1 + 0.06 * (F.length("name") - F.length(q)))).otherwise(0.0)
-
-
 def rerank(pool: DataFrame, block: int | None = None) -> DataFrame:
     """Adds position: by name score, path score, identity, then retrieval rank; inside blocks of the pool, so that pages never reshuffle."""
     order = [F.round("name_score", 9).desc(), F.round("path_score", 9).desc(), *IDENTITY, "rank"]
@@ -227,10 +265,13 @@ def federated_pages(rows: DataFrame, limit: int, offset: int = 0, budget: int =
     return own.join(step, F.lit(True), "left").where(F.col("step").isNull() | (F.col("file_no") <= F.col("step"))).drop("step")
 
 
-def merged(rows: DataFrame, natural: bool) -> DataFrame:
-    """One order over namespaces: question answers take turns by rank, others follow their scores; ties by identity."""
+def merged(rows: DataFrame, natural: bool, most: int = 500) -> DataFrame:
+    """One order over the pools of namespaces: question answers take turns by rank, others follow their scores; ties by identity.
+
+    The first `most` rows, which are sorted in parts and only then numbered.
+    """
     order = ["rank", *IDENTITY] if natural else [F.round("score", 9).desc(), *IDENTITY]
-    return rows.withColumn("merged", F.row_number().over(Window.orderBy(*order)))
+    return rows.orderBy(*order).limit(most).withColumn("merged", F.row_number().over(Window.orderBy(*order)))
 
 
 def promote_exact(rows: DataFrame, query: str) -> DataFrame:

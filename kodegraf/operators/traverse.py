@@ -29,11 +29,14 @@ def _levels(starts: DataFrame, step, max_depth: int | None, order: list[str], ma
         depth += 1
         found = step(level)
         new = first_of(found.join(seen.select("source", "node_id"), ["source", "node_id"], "left_anti"), ["source", "node_id"], order)
-        base = seen.groupBy("source").agg(F.max("ordinal").alias("base"))
+        # Ordinals rise from level to level: the last one holds the largest so far.
+        base = level.groupBy("source").agg(F.max("ordinal").alias("base"))
+        rank = F.row_number().over(Window.partitionBy("source").orderBy(*order, "node_id"))
+        ranked = new.withColumn("rank", rank)
         if max_nodes is not None:
             base = base.where(F.col("base") <= max_nodes)
-        rank = F.row_number().over(Window.partitionBy("source").orderBy(*order, "node_id"))
-        level = saved(new.withColumn("rank", rank).join(base, "source").select("source", "node_id", F.lit(depth).alias("depth"), (F.col("base") + F.col("rank")).alias("ordinal")), "level")
+            ranked = ranked.where(F.col("rank") <= max_nodes + 1)  # a constant limit applies before the shuffle
+        level = saved(ranked.join(base, "source").select("source", "node_id", F.lit(depth).alias("depth"), (F.col("base") + F.col("rank")).alias("ordinal")), "level")
         seen = seen.unionByName(level)
     return seen
 

@@ -19,7 +19,11 @@ QUERIES: dict[str, Callable[[Graph], DataFrame]] = {}
 SQL: dict[str, str] = {}
 PLACE = "file_path, start_line, qualified_name, node_id"
 NODE = "node_id, namespace, kind, name, qualified_name, file_path, start_line, end_line"
-STOP = ", ".join(f"'{w}'" for w in tk.STOP_WORDS)
+# Fixed values, written here apart from the operator's own list.
+STOP = ", ".join(f"'{w}'" for w in (
+    "a an the of to in on at by for with from as is are was were be do does did how what where when why who which "
+    "i my me it its this that and or can could would should will shall there"
+).split())
 CALLS = "('calls', 'fallback_calls')"
 FIELDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{Nd}}_]+'), lambda x: lower(x))"
 
@@ -74,9 +78,9 @@ def nodes_by_file(g):
     return scans.nodes_by_files(g.nodes, g.hunks)
 
 
-@query("SELECT node_id, file_path, end_line FROM {nodes} WHERE kind <> 'package'")
+@query("SELECT node_id, file_path, sha256(qualified_name) AS hash FROM {nodes} WHERE kind <> 'package'")
 def file_state(g):
-    return scans.file_state(g.nodes)
+    return scans.file_state(g.nodes.withColumn("hash", F.sha2("qualified_name", 256)))
 
 
 @query(f"SELECT {NODE} FROM {{nodes}} WHERE kind = 'file'")
@@ -104,10 +108,10 @@ def edges_to(g):
     return scans.edges_to(g.edges, g.nodes.where("kind = 'class'"))
 
 
-@query("""SELECT kind, count(*) AS n, sum(line) AS lines FROM (SELECT kind, line FROM {edges}
-UNION ALL SELECT 'cross_ref', 0 FROM {cross_refs} WHERE status = 'resolved' AND resolved_node_id IS NOT NULL) GROUP BY kind""")
+@query("""SELECT namespace, from_node_id, to_node_id, kind, file_path, line, fingerprint FROM {edges} UNION ALL
+SELECT from_namespace, from_node_id, resolved_node_id, 'cross_ref', to_path, 0, concat('cross_ref:', raw) FROM {cross_refs} WHERE status = 'resolved' AND resolved_node_id IS NOT NULL""")
 def cross_namespace_edges(g):
-    return scans.with_cross_refs(g.edges, g.cross_refs).groupBy("kind").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    return scans.with_cross_refs(g.edges, g.cross_refs)
 
 
 @query(f"SELECT {NODE} FROM {{nodes}} WHERE name = (SELECT min(p_name) FROM {{part}}) ORDER BY {PLACE} LIMIT 20")
@@ -224,27 +228,31 @@ def flow_entrypoints(g):
     return relations.flow_entrypoints(g.nodes, g.edges).select("node_id", "qualified_name")
 
 
+ENTRY = f"SELECT node_id FROM {{nodes}} n WHERE kind IN ('function', 'test') AND NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.to_node_id = n.node_id AND kind IN {CALLS})"
+
+
 def _flow_tables(g):
-    """Flows of orders: their parts, one step deep, as members."""
-    flows = g.nodes.where("kind = 'test'").select(F.col("node_id").alias("flow_id"), "name", "namespace")
-    members = g.edges.where(F.col("kind").isin("calls", "fallback_calls") & (F.col("from_node_id") >= 6 * T)).select(F.col("from_node_id").alias("flow_id"), F.col("to_node_id").alias("node_id")).distinct()
-    return flows, members
+    """Flows of all entry points, with everything that they reach as members."""
+    starts = relations.flow_entrypoints(g.nodes, g.edges).select(F.col("node_id").alias("source"), "node_id")
+    return traverse.flow_tables(g.nodes, traverse.flows(g.edges, starts, max_nodes=None))
 
 
-MEMBERS = f"(SELECT DISTINCT from_node_id AS flow_id, to_node_id AS node_id FROM {{edges}} WHERE kind IN {CALLS} AND from_node_id >= {6 * T})"
+FLOWS = f"(SELECT node_id AS flow_id, name FROM {{nodes}} WHERE node_id IN ({ENTRY}))"
+MEMBERS = f"""(WITH RECURSIVE r AS (SELECT node_id AS flow_id, node_id FROM ({ENTRY}) UNION SELECT r.flow_id, e.to_node_id FROM r JOIN {{edges}} e ON e.from_node_id = r.node_id WHERE e.kind IN {CALLS})
+SELECT r.flow_id, r.node_id FROM r JOIN {{nodes}} k ON k.node_id = r.node_id)"""
 
 
-@query(f"SELECT n.node_id AS flow_id, name, count(m.node_id) AS n_members FROM {{nodes}} n LEFT JOIN {MEMBERS} m ON n.node_id = m.flow_id WHERE kind = 'test' GROUP BY 1, 2")
+@query(f"SELECT f.flow_id, name, count(m.node_id) AS n_members FROM {FLOWS} f LEFT JOIN {MEMBERS} m ON f.flow_id = m.flow_id GROUP BY 1, 2")
 def flows_summary(g):
     return relations.flows_summary(*_flow_tables(g))
 
 
-@query(f"SELECT n.node_id AS flow_id, name, count(m.node_id) AS n_members FROM {{nodes}} n LEFT JOIN {MEMBERS} m ON n.node_id = m.flow_id WHERE kind = 'test' GROUP BY 1, 2 ORDER BY n_members DESC, name LIMIT 50 OFFSET 10")
+@query(f"SELECT f.flow_id, name, count(m.node_id) AS n_members FROM {FLOWS} f LEFT JOIN {MEMBERS} m ON f.flow_id = m.flow_id GROUP BY 1, 2 ORDER BY n_members DESC, name, f.flow_id LIMIT 50 OFFSET 10")
 def flows_page(g):
-    return relations.page(relations.flows_summary(*_flow_tables(g)), 50, 10, [F.col("n_members").desc(), "name"])
+    return relations.page(relations.flows_summary(*_flow_tables(g)), 50, 10, [F.col("n_members").desc(), "name", "flow_id"])
 
 
-@query(f"""SELECT n.node_id AS flow_id, name, array_to_string(list(CAST(m.node_id AS VARCHAR) ORDER BY m.node_id), ',') AS affected FROM {{nodes}} n JOIN {MEMBERS} m ON n.node_id = m.flow_id
+@query(f"""SELECT f.flow_id, name, array_to_string(list(CAST(m.node_id AS VARCHAR) ORDER BY m.node_id), ',') AS affected FROM {FLOWS} f JOIN {MEMBERS} m ON f.flow_id = m.flow_id
 WHERE m.node_id IN (SELECT node_id FROM {{nodes}} a JOIN {{hunks}} h ON a.file_path = h.file_path AND h.start_line <= a.end_line AND h.end_line >= a.start_line) GROUP BY 1, 2""")
 def affected_flows(g):
     flows, members = _flow_tables(g)
@@ -257,11 +265,10 @@ def top_members(g):
     return relations.top_groups(_flow_tables(g)[1], "node_id", 10)
 
 
-@query("SELECT n.node_id, n.qualified_name, r.rank FROM {nodes} n JOIN (SELECT p_partkey + 5000000000000 AS node_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM {part} QUALIFY rank <= 100) r ON n.node_id = r.node_id")
+@query("SELECT n.node_id, n.qualified_name, r.rank FROM {nodes} n JOIN (SELECT p_partkey + 5000000000000 AS node_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM {part}) r ON n.node_id = r.node_id")
 def ordered_load(g):
-    from pyspark.sql import Window
-
-    r = g.part.select((F.col("p_partkey") + 5 * T).alias("node_id"), F.row_number().over(Window.orderBy(F.col("p_retailprice").desc(), "p_partkey")).cast("long").alias("rank"))
+    parts = g.part.select((F.col("p_partkey") + 5 * T).alias("node_id"), "p_retailprice", "p_partkey")
+    r = scans.numbered(parts, [F.col("p_retailprice").desc(), F.col("p_partkey")]).select("node_id", "rank")
     return relations.in_rank_order(g.nodes, r).select("node_id", "qualified_name", "rank")
 
 
@@ -437,13 +444,13 @@ def trace_flow_strict(g):
     return traverse.flows(g.edges, _start(g, 6 * T + 42), ("calls",), max_nodes=None).select("source", "node_id", "depth")
 
 
-@query(reach_sql(f"SELECT node_id FROM {{nodes}} n WHERE kind IN ('function', 'test') AND NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.to_node_id = n.node_id AND kind IN {CALLS})", CALLS, 2))
+@query(reach_sql(f"SELECT node_id FROM {{nodes}} n WHERE kind IN ('function', 'test') AND NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.to_node_id = n.node_id AND kind IN {CALLS})", CALLS))
 def rebuild_flows(g):
     starts = relations.flow_entrypoints(g.nodes, g.edges).select(F.col("node_id").alias("source"), "node_id")
     return traverse.flows(g.edges, starts, max_nodes=None).select("source", "node_id", "depth")
 
 
-@query(reach_sql(f"SELECT CAST({5 * T + 99} AS BIGINT) AS node_id", "('calls', 'fallback_calls', 'cross_ref', 'inherits')", 3, "SELECT from_node_id, to_node_id, kind FROM {edges} UNION ALL SELECT from_node_id, resolved_node_id, 'cross_ref' FROM {cross_refs} WHERE status = 'resolved'"))
+@query(reach_sql(f"SELECT CAST({5 * T + 99} AS BIGINT) AS node_id", "('calls', 'fallback_calls', 'cross_ref', 'inherits')", 40, "SELECT from_node_id, to_node_id, kind FROM {edges} UNION ALL SELECT from_node_id, resolved_node_id, 'cross_ref' FROM {cross_refs} WHERE status = 'resolved'"))
 def trace_cross_namespace(g):
     edges = scans.with_cross_refs(g.edges, g.cross_refs)
     return traverse.flows(edges, _start(g, 5 * T + 99), ("calls", "fallback_calls", "cross_ref", "inherits"), max_nodes=None).select("source", "node_id", "depth")
@@ -467,17 +474,20 @@ def stop_words(g):
     return g.reasons.select("node_id", "turn", F.array_join(tk.without_stop_words(tk.fields(F.col("content"))), " ").alias("terms"))
 
 
-@query(f"SELECT namespace, token, node_id, count(*) AS tf FROM (SELECT namespace, node_id, unnest({_fields('content')}) AS token FROM {{docs}}) GROUP BY 1, 2, 3")
+@query(f"SELECT namespace, token, node_id, len, count(*) AS tf FROM (SELECT namespace, node_id, len(t) AS len, unnest(t) AS token FROM (SELECT namespace, node_id, {_fields('content')} AS t FROM {{docs}})) GROUP BY 1, 2, 3, 4")
 def postings(g):
     return search.postings(g.docs)
 
 
-@query(f"""SELECT namespace, node_id, trim(concat_ws(' ', name, qualified_name, kind, array_to_string(list(p ORDER BY i), ' '), array_to_string(b, ' '))) AS content FROM (
+@query(f"""SELECT namespace, node_id, trim(concat_ws(' ', name, qualified_name, kind, array_to_string(list(p ORDER BY i), ' '), array_to_string(b, ' '), CASE kind WHEN 'type' THEN concat('Sums up ', name, ' last ', file_path) WHEN 'class' THEN concat('Stands in ', name) END)) AS content FROM (
 SELECT n.* EXCLUDE (p, i), p, min(i) AS i FROM (SELECT n.*, unnest(w) AS p, unnest(range(len(w))) AS i FROM (SELECT *, list_concat({_split('name')}, {_split('qualified_name')}) AS w,
-(SELECT coalesce(list(x ORDER BY j), []) FROM (SELECT x, min(j) AS j FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS j) GROUP BY x)) AS b
-FROM (SELECT *, {_split("regexp_extract(file_path, '([^/]*)$', 1)")} AS v FROM {{nodes}} WHERE kind IN ('file', 'class', 'function')) ) n ) n GROUP BY ALL) GROUP BY namespace, node_id, name, qualified_name, kind, b""")
+list_filter(string_split(lower(regexp_extract(file_path, '([^/]*)$', 1)), '.'), lambda x: x <> '') AS b FROM {{nodes}}) n ) n GROUP BY ALL) GROUP BY namespace, node_id, name, qualified_name, kind, file_path, b""")
 def search_documents(g):
-    return search.document_text(g.nodes.where("kind in ('file', 'class', 'function')"))
+    types = g.nodes.where("kind = 'type'")
+    tags = types.select("node_id", F.concat(F.lit("Sums up "), "name").alias("summary"), F.lit("").alias("context"), F.col("file_path").alias("value"), F.lit(1).alias("position"))
+    tags = tags.unionByName(tags.withColumn("value", F.lit("last")).withColumn("position", F.lit(0)))
+    tags = tags.unionByName(g.nodes.where("kind = 'class'").select("node_id", F.lit(None).cast("string").alias("summary"), F.concat(F.lit("Stands in "), "name").alias("context"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("position")))
+    return search.document_text(g.nodes, search.said(tags))
 
 
 @query("SELECT namespace, node_id, intent AS content FROM {annotations} WHERE intent IS NOT NULL UNION ALL SELECT namespace, node_id, rule FROM {annotations} WHERE rule IS NOT NULL")
@@ -487,7 +497,7 @@ def reasons(g):
 
 @query(f"SELECT namespace, node_id FROM (SELECT namespace, node_id, {_fields('content')} AS t FROM {{docs}}) WHERE len(list_filter(t, lambda x: starts_with(x, 'the'))) > 0 AND len(list_filter(t, lambda x: starts_with(x, 'ation'))) > 0")
 def search_strict(g):
-    return search.strict_match(g.docs, "the ation").select("namespace", "node_id")
+    return search.strict_match(search.postings(g.docs), "the ation")
 
 
 def bm25_sql(view: str, terms: list[str]) -> str:
@@ -507,23 +517,23 @@ TERMS = ["the", "ation", "ouen"]
 
 @query(bm25_sql("docs", TERMS))
 def search_natural_bm25(g):
-    return search.bm25(g.docs, TERMS).withColumn("score", F.round("score", 6))
+    return search.bm25(search.postings(g.docs), TERMS, search.corpus(g.docs)).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT namespace, node_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, node_id) AS rank FROM ({bm25_sql('docs', TERMS)})) WHERE rank <= 10")
 def search_top(g):
-    return search.ranked(search.bm25(g.docs, TERMS), 10, digits=6).select("namespace", "node_id", F.col("rank").cast("long").alias("rank"))
+    return search.ranked(search.bm25(search.postings(g.docs), TERMS, search.corpus(g.docs)), 10, digits=6).select("namespace", "node_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(bm25_sql("reasons", TERMS))
 def reason_rank(g):
-    return search.bm25(g.reasons, TERMS, doc_key=["node_id", "turn"]).withColumn("score", F.round("score", 6))
+    return search.bm25(search.postings(g.reasons, ("node_id", "turn")), TERMS, search.corpus(g.reasons), ("node_id", "turn")).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH t AS (SELECT namespace, {_fields('content')} AS t FROM {{reasons}}) SELECT namespace, n_terms_found, 2 * n_terms_found >= 3 AS can_answer FROM (SELECT namespace,
 CAST(bool_or(list_contains(t, 'the')) AS BIGINT) + CAST(bool_or(len(list_filter(t, lambda x: starts_with(x, 'ation'))) > 0) AS BIGINT) + CAST(bool_or(len(list_filter(t, lambda x: starts_with(x, 'ouen'))) > 0) AS BIGINT) AS n_terms_found FROM t GROUP BY 1)""")
 def can_answer(g):
-    return search.answerable(g.reasons, TERMS)
+    return search.answerable(search.postings(g.reasons, ("node_id", "turn")), TERMS, search.corpus(g.reasons))
 
 
 PATH_SCORE = "CAST((CASE WHEN list_contains(s, 'asia') THEN 1 ELSE 0 END + CASE WHEN list_contains(s, 'geo') THEN 1 ELSE 0 END) AS DOUBLE) / 2"
@@ -534,19 +544,45 @@ def path_scores(g):
     return g.nodes.select("node_id", search.path_score("geo asia").alias("path_score")).where("path_score > 0")
 
 
-NAME_SCORE = "CASE WHEN lower(name) = 'asia' THEN 1.0 WHEN starts_with(lower(name), 'asia') THEN 1 / (1 + 0.06 * (length(name) - 4)) ELSE 0.0 END"
+def likeness_sql(target: str, query: str) -> str:
+    """Of a query of one part to a column, by trying every earlier end for each of its characters."""
+    upper, lower = (lambda x: rf"regexp_matches({x}, '^\p{{Lu}}$')"), (lambda x: rf"regexp_matches({x}, '^\p{{Ll}}$')")
+    start = f"""list_transform(range(1, n + 1), lambda i: CASE WHEN i = 1 THEN 1.0 WHEN c[i - 1] IN ('.', '_', '-') THEN 0.8 WHEN {upper('c[i]')} AND NOT {upper('c[i - 1]')} THEN 0.8
+WHEN {upper('c[i]')} AND {upper('c[i - 1]')} AND i < n AND {lower('c[i + 1]')} THEN 0.8 END)"""
+    text = f"SELECT DISTINCT target, string_split(target, '') AS c, string_split(lower(target), '') AS l, len(string_split(target, '')) AS n FROM ({target}) WHERE length(target) >= {len(query)}"
+    text = f"SELECT *, {start} AS w FROM ({text})"
+    for k, x in enumerate(query):
+        if k == 0:
+            value = "coalesce(w[i], 0.3)"
+        else:
+            gap = f"list_max(list_transform(range(1, i - 1), lambda k: s{k - 1}[k] - 0.2 * (i - k - 1))) + coalesce(w[i], 0.3)"
+            value = f"greatest(s{k - 1}[i - 1] + coalesce(w[i], 0.7), {gap})"
+        text = f"SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN l[i] = '{x}' THEN {value} END) AS s{k} FROM ({text})"
+    return f"SELECT target, CAST(greatest(coalesce(list_max(s{len(query) - 1}), 0), 0) / {len(query)} / (1 + 0.06 * (n - {len(query)})) AS DOUBLE) AS likeness FROM ({text})"
+
+
+def pool_sql(query: str) -> str:
+    """The pool of each namespace with its scores."""
+    pool = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY start_line, qualified_name, node_id) AS rank FROM {nodes}) WHERE rank <= 500"
+    named = f"SELECT *, regexp_extract(qualified_name, '([^.]*)$', 1) AS last, CASE WHEN len(string_split(qualified_name, '.')) > 2 THEN string_split(qualified_name, '.')[-2] END AS receiver FROM ({pool})"
+    like = likeness_sql(f"SELECT name AS target FROM ({named}) UNION SELECT last FROM ({named}) UNION SELECT receiver FROM ({named})", query)
+    return f"""(WITH likely AS MATERIALIZED ({like}) SELECT p.*, greatest(coalesce(a.likeness, 0), coalesce(b.likeness, 0), 0.5 * coalesce(d.likeness, 0)) AS name_score,
+CASE WHEN list_contains(string_split(regexp_replace(lower(file_path), '[/._-]', '/', 'g'), '/'), '{query}') THEN 1.0 ELSE 0.0 END AS path_score
+FROM ({named}) p LEFT JOIN likely a ON a.target = p.name LEFT JOIN likely b ON b.target = p.last LEFT JOIN likely d ON d.target = p.receiver)"""
+
+
+ASKED = "nation"
 
 
-def _pool(g, query_text="asia"):
-    """Files and classes of one namespace, as a pool in order of retrieval."""
+def _pool(g, query_text=ASKED):
+    """The first 500 nodes of each namespace by line and name, as a pool in order of retrieval."""
     from pyspark.sql import Window
 
-    pool = g.nodes.where("kind in ('package', 'file', 'class')").withColumn("rank", F.row_number().over(Window.partitionBy("namespace").orderBy("qualified_name", "node_id")))
-    return pool.withColumns({"name_score": search.exact_name_score(query_text), "path_score": search.path_score(query_text)})
+    pool = g.nodes.withColumn("rank", F.row_number().over(Window.partitionBy("namespace").orderBy("start_line", "qualified_name", "node_id"))).where("rank <= 500")
+    return search.name_scores(pool, query_text).withColumn("path_score", search.path_score(query_text))
 
 
-POOL = f"""(SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY qualified_name, node_id) AS rank, {NAME_SCORE} AS name_score,
-CASE WHEN list_contains(list_transform(string_split(regexp_replace(file_path, '[/._-]', '/', 'g'), '/'), lambda x: lower(x)), 'asia') THEN 1.0 ELSE 0.0 END AS path_score FROM {{nodes}} WHERE kind IN ('package', 'file', 'class'))"""
+POOL = pool_sql(ASKED)
 RERANK = "row_number() OVER (PARTITION BY namespace ORDER BY {}round(name_score, 9) DESC, round(path_score, 9) DESC, file_path, qualified_name, kind, namespace, start_line, rank) AS position"
 RERANKED = f"(SELECT *, {RERANK.format('')} FROM {POOL})"
 
@@ -561,14 +597,15 @@ def rerank_blocks(g):
     return search.rerank(_pool(g), 50).select("node_id", F.col("position").cast("long").alias("position"))
 
 
-INTENT = "(SELECT node_id, row_number() OVER (ORDER BY node_id) AS r FROM {nodes} WHERE kind IN ('class', 'type') AND node_id % 10 = 0)"
-ABSORBED = f"(SELECT coalesce(a.node_id, b.node_id) AS node_id, b.r IS NOT NULL AS has_intent, row_number() OVER (ORDER BY a.position IS NULL, a.position, b.r) AS position FROM {RERANKED} a FULL JOIN {INTENT} b ON a.node_id = b.node_id)"
+INTENT = "(SELECT * FROM (SELECT namespace, node_id, row_number() OVER (PARTITION BY namespace ORDER BY end_line DESC, node_id) AS r FROM {nodes} WHERE kind IN ('file', 'class', 'type', 'function')) WHERE r <= 500)"
+ABSORBED = f"(SELECT coalesce(a.namespace, b.namespace) AS namespace, coalesce(a.node_id, b.node_id) AS node_id, b.r IS NOT NULL AS has_intent, row_number() OVER (PARTITION BY coalesce(a.namespace, b.namespace) ORDER BY a.position IS NULL, a.position, b.r) AS position FROM {RERANKED} a FULL JOIN {INTENT} b ON a.node_id = b.node_id)"
 
 
 def _absorbed(g):
     from pyspark.sql import Window
 
-    intent = g.nodes.where("kind in ('class', 'type') and node_id % 10 = 0").select("namespace", "node_id", F.row_number().over(Window.orderBy("node_id")).alias("rank"))
+    by_end = Window.partitionBy("namespace").orderBy(F.col("end_line").desc(), "node_id")
+    intent = g.nodes.where("kind in ('file', 'class', 'type', 'function')").withColumn("rank", F.row_number().over(by_end)).where("rank <= 500").select("namespace", "node_id", "rank")
     return search.absorb_reasons(search.rerank(_pool(g)), intent)
 
 
@@ -577,13 +614,14 @@ def absorb_reasons(g):
     return _absorbed(g).select("node_id", "has_intent", F.col("position").cast("long").alias("position"))
 
 
-EVIDENCE = f"""(SELECT a.node_id, n.namespace, file_path, a.position, concat_ws(',', CASE WHEN {NAME_SCORE} > 0 THEN 'name' END, CASE WHEN list_contains(list_transform(string_split(regexp_replace(file_path, '[/._-]', '/', 'g'), '/'), lambda x: lower(x)), 'asia') THEN 'path' END, CASE WHEN has_intent THEN 'intent' END) AS matched
-FROM {ABSORBED} a JOIN {{nodes}} n USING (node_id))"""
+EVIDENCE = f"""(SELECT a.node_id, n.namespace, n.file_path, a.position, concat_ws(',', CASE WHEN s.name_score > 0 THEN 'name' END, CASE WHEN list_contains(string_split(regexp_replace(lower(n.file_path), '[/._-]', '/', 'g'), '/'), '{ASKED}') THEN 'path' END, CASE WHEN has_intent THEN 'intent' END) AS matched
+FROM {ABSORBED} a JOIN {{nodes}} n USING (node_id) LEFT JOIN {POOL} s USING (node_id))"""
 
 
 def _evidence(g):
-    rows = _absorbed(g).drop("namespace").join(g.nodes, "node_id").withColumns({"name_score": search.exact_name_score("asia"), "path_score": search.path_score("asia")})
-    return search.evidence(rows)
+    scores = _pool(g).select("node_id", "name_score")
+    rows = _absorbed(g).drop("namespace").join(g.nodes, "node_id").join(scores, "node_id", "left").withColumn("path_score", search.path_score(ASKED))
+    return search.evidence(rows.withColumn("name_score", F.coalesce("name_score", F.lit(0.0))))
 
 
 @query(f"SELECT node_id, matched, position FROM {EVIDENCE} WHERE matched <> ''")
@@ -599,7 +637,7 @@ def file_paging(g):
     return search.file_pages(search.by_file(_evidence(g)), 5, 2).select("node_id", F.col("file_no").cast("long").alias("file_no"))
 
 
-FED = "(SELECT *, dense_rank() OVER (PARTITION BY namespace ORDER BY first) AS file_no FROM (SELECT *, min(position) OVER (PARTITION BY namespace, file_path) AS first FROM (SELECT namespace, file_path, node_id, row_number() OVER (PARTITION BY namespace ORDER BY node_id % 97, node_id) AS position FROM {nodes} WHERE kind IN ('file', 'class', 'function'))))"
+FED = "(SELECT *, dense_rank() OVER (PARTITION BY namespace ORDER BY first) AS file_no FROM (SELECT *, min(position) OVER (PARTITION BY namespace, file_path) AS first FROM (SELECT namespace, file_path, node_id, row_number() OVER (PARTITION BY namespace ORDER BY node_id % 97, node_id) AS position FROM {nodes})))"
 
 
 @query(f"""WITH p AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY namespace ORDER BY file_no) AS hits FROM {FED}) WHERE file_no <= 10 AND (hits <= 50 OR file_no = 1)),
@@ -608,22 +646,22 @@ SELECT namespace, node_id, file_no FROM p, s WHERE step IS NULL OR file_no <= st
 def federated_page(g):
     from pyspark.sql import Window
 
-    rows = g.nodes.where("kind in ('file', 'class', 'function')").withColumn("position", F.row_number().over(Window.partitionBy("namespace").orderBy(F.expr("node_id % 97"), "node_id")))
+    rows = g.nodes.withColumn("position", F.row_number().over(Window.partitionBy("namespace").orderBy(F.expr("node_id % 97"), "node_id")))
     return search.federated_pages(search.by_file(rows), 10).select("namespace", "node_id", F.col("file_no").cast("long").alias("file_no"))
 
 
-@query("SELECT node_id, row_number() OVER (ORDER BY rank, file_path, qualified_name, kind, namespace, start_line) AS merged FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY qualified_name, node_id) AS rank FROM {nodes} WHERE kind IN ('file', 'function'))")
+@query("""SELECT node_id, row_number() OVER (ORDER BY rank, file_path, qualified_name, kind, namespace, start_line) AS merged FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY qualified_name, node_id) AS rank FROM {nodes})
+QUALIFY merged <= 500""")
 def natural_merge(g):
     from pyspark.sql import Window
 
-    rows = g.nodes.where("kind in ('file', 'function')").withColumn("rank", F.row_number().over(Window.partitionBy("namespace").orderBy("qualified_name", "node_id")))
-    return search.merged(rows, True).select("node_id", F.col("merged").cast("long").alias("merged"))
+    rows = g.nodes.withColumn("rank", F.row_number().over(Window.partitionBy("namespace").orderBy("qualified_name", "node_id"))).where("rank <= 500")
+    return search.merged(rows, True, 500).select("node_id", F.col("merged").cast("long").alias("merged"))
 
 
-@query()
+@query(f"SELECT node_id, round(name_score, 6) AS name_score, {RERANK.format('')} FROM {pool_sql('sing')}")
 def rerank_fuzzy(g):
-    pool = search.name_scores(_pool(g).where("rank <= 500").drop("name_score"), "asa")
-    return search.rerank(pool).select("node_id", F.round("name_score", 6).alias("name_score"), F.col("position").cast("long").alias("position"))
+    return search.rerank(_pool(g, "sing")).select("node_id", F.round("name_score", 6).alias("name_score"), F.col("position").cast("long").alias("position"))
 
 
 # --- tree, lint ----------------------------------------------------------------------
@@ -777,7 +815,7 @@ def structural_implements(g):
     return resolve.structural_implements(methods, wants)
 
 
-@query("""SELECT h.file_path, h.line, n.node_id FROM (SELECT DISTINCT concat('catalog/tests/', o_orderpriority) AS file_path, 10 * o_orderkey + 4 AS line FROM {orders} WHERE o_orderkey % 3 = 0) h JOIN {nodes} n ON n.kind = 'test' AND n.file_path = h.file_path AND h.line BETWEEN n.start_line AND n.end_line""")
+@query("""SELECT h.file_path, h.line, n.node_id FROM (SELECT DISTINCT concat('catalog/tests/', o_orderpriority) AS file_path, 10 * o_orderkey + 4 AS line FROM {orders}) h JOIN {nodes} n ON n.kind = 'test' AND n.file_path = h.file_path AND h.line BETWEEN n.start_line AND n.end_line""")
 def tested_by(g):
     calls = g.orders.select(F.concat(F.lit("catalog/tests/"), "o_orderpriority").alias("file_path"), F.expr("10 * o_orderkey + 4").alias("line"), F.lit("f").alias("callee"))
     return resolve.tested_by(calls, g.nodes).select("file_path", "line", "node_id")
@@ -793,7 +831,7 @@ def as_of_binding(g):
 @query("""WITH f AS (SELECT node_id, file_path, start_line FROM {nodes} WHERE kind = 'function'), c AS (SELECT file_path, start_line - 3 - node_id % 3 AS s, start_line - 1 AS e, node_id AS comment_id FROM f WHERE node_id % 2 = 0),
 l AS (SELECT file_path, start_line - 2 AS line FROM f WHERE node_id % 5 = 0 UNION ALL SELECT file_path, start_line + 3 FROM f)
 SELECT f.node_id, arg_min(c.comment_id, c.s * 1000000 + c.comment_id % 1000000) AS comment_id FROM f JOIN c ON c.file_path = f.file_path AND c.e < f.start_line
-WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.file_path = f.file_path AND l.line >= c.e AND l.line <= f.start_line) GROUP BY 1""")
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.file_path = f.file_path AND l.line > c.e AND l.line < f.start_line) GROUP BY 1""")
 def bind_comments(g):
     f = g.nodes.where("kind = 'function'")
     comments = f.where("node_id % 2 = 0").select("file_path", F.expr("start_line - 3 - node_id % 3").alias("start_line"), F.expr("start_line - 1").alias("end_line"), F.col("node_id").alias("comment_id"))
@@ -836,11 +874,10 @@ def markdown_anchors(g):
 # --- store ---------------------------------------------------------------------------
 
 
-@query("SELECT node_id, qualified_name, end_line FROM {nodes} WHERE kind = 'class' AND node_id % 2 = 1 UNION ALL SELECT node_id, qualified_name, end_line + 5 FROM {nodes} WHERE kind = 'class' AND node_id % 2 = 0")
+@query("SELECT node_id, qualified_name, end_line + CASE WHEN node_id % 2 = 0 THEN 5 ELSE 0 END AS end_line FROM {nodes}")
 def upsert_nodes(g):
-    old = g.nodes.where("kind = 'class'")
-    new = old.where("node_id % 2 = 0").withColumn("end_line", F.col("end_line") + 5).withColumn("node_id", F.col("node_id") + 10**15)
-    return store.upsert_nodes(old, new).select("node_id", "qualified_name", "end_line")
+    new = g.nodes.where("node_id % 2 = 0").withColumn("end_line", F.col("end_line") + 5).withColumn("node_id", F.col("node_id") + 10**15)
+    return store.upsert_nodes(g.nodes, new).select("node_id", "qualified_name", "end_line")
 
 
 @query("SELECT namespace, fingerprint, from_node_id, to_node_id, kind FROM {edges}")
@@ -856,15 +893,15 @@ def upsert_annotations(g):
     return store.replace_annotations(g.annotations, new.unionByName(strange), g.docs).select("node_id", "intent")
 
 
-@query("""WITH gone AS (SELECT node_id FROM {nodes} WHERE file_path IN (SELECT file_path FROM {hunks})) SELECT kind, count(*) AS n FROM {edges}
-WHERE file_path NOT IN (SELECT file_path FROM {hunks}) AND from_node_id NOT IN (SELECT node_id FROM gone) AND to_node_id NOT IN (SELECT node_id FROM gone) GROUP BY 1""")
+@query("""WITH gone AS (SELECT node_id FROM {nodes} WHERE file_path IN (SELECT file_path FROM {hunks})) SELECT fingerprint, kind, from_node_id, to_node_id FROM {edges}
+WHERE file_path NOT IN (SELECT file_path FROM {hunks}) AND from_node_id NOT IN (SELECT node_id FROM gone) AND to_node_id NOT IN (SELECT node_id FROM gone)""")
 def cascade_delete(g):
-    return stats.by(store.delete_files(g.hunks, g.nodes, g.edges)["edges"], "kind")
+    return store.delete_files(g.hunks, g.nodes, g.edges)["edges"].select("fingerprint", "kind", "from_node_id", "to_node_id")
 
 
-@query("SELECT kind, count(*) AS n FROM {nodes} WHERE namespace <> 'geo' GROUP BY 1")
+@query(f"SELECT {NODE} FROM {{nodes}} WHERE namespace <> 'geo'")
 def delete_namespace(g):
-    return stats.by(store.delete_namespace("geo", nodes=g.nodes)["nodes"], "kind")
+    return store.delete_namespace("geo", nodes=g.nodes)["nodes"]
 
 
 @query("SELECT page_id FROM {pages} WHERE page_id % 3 <> 0")

@@ -144,10 +144,11 @@ def test_links_resolve_once_or_die(spark):
 
 def test_bm25_prefers_rare_terms_and_counts_nodes(spark):
     d = spark.createDataFrame([("n", 1, "common common rareword"), ("n", 2, "common other"), ("n", 3, "common thing"), ("n", 3, "common again"), ("n", 4, "raremost")], "namespace string, node_id long, content string")
-    got = {r.node_id: r.score for r in search.bm25(d, ["common", "rare"]).collect()}
+    index, sizes = search.postings(d), search.corpus(d)
+    got = {r.node_id: r.score for r in search.bm25(index, ["common", "rare"], sizes).collect()}
     assert set(got) == {1, 2, 3, 4} and got[4] > got[2] and got[1] > got[2]
-    assert len(search.ranked(search.bm25(d, ["common"]), 2).collect()) == 2
-    assert {r.node_id for r in search.bm25(d, ["rar"]).collect()} == set()  # short terms match whole words
+    assert len(search.ranked(search.bm25(index, ["common"], sizes), 2).collect()) == 2
+    assert {r.node_id for r in search.bm25(index, ["rar"], sizes).collect()} == set()  # short terms match whole words
 
 
 def test_subsequence_scores_order_names():
@@ -156,6 +157,61 @@ def test_subsequence_scores_order_names():
     assert s("ab", "xaxb") < s("ab", "abxx") and s("rpase", "parse") == 0 and s("", "x") == 0
 
 
+def test_names_score_as_stated():
+    """Literal cases: an exact name above longer ones, whole words above scattered letters, boundaries behind acronyms."""
+    like = lambda q, n, qn=None: search.name_likeness(q)(n, qn or n)
+    assert round(like("server", "startNewServer"), 2) == 0.48 and round(like("server", "serviceProvider"), 2) == 0.34
+    assert like("server", "Server") > like("server", "serverPool") > like("server", "startNewServer") > like("server", "serviceProvider") > 0
+    for q, word, scattered in (("processor", "paymentProcessor", "pathResolverCacheSessionStore"), ("response", "parseJsonResponse", "resolveNamespace")):
+        assert like(q, word) > like(q, scattered)
+    assert like("server", "HTTPServer") == like("server", "HttpServer")
+    assert like("search document", "SearchDocument") > like("search document", "searchDoc")
+    assert like("ExecuteC", "tmplFunc") == 0 < like("c", "cmd") and like("syncqueue", "add", "app.SyncQueue.add") == 0.5 * like("syncqueue", "SyncQueue")
+    assert like("app", "add", "app.add") == 0 and like("adir", "parseTreeSitterLanguageDefinitionRegistryConfigurationLoaderFactoryGlobals") == pytest.approx(0.0096, abs=5e-5)
+
+
+def test_stop_words_are_the_stated_ones():
+    from kodegraf.functions import tokens as tk
+
+    assert set(tk.STOP_WORDS).isdisjoint("get set list new run call has all add use type error if into then have".split()) and "shall" in tk.STOP_WORDS
+    assert tk.query_terms("what can we do") == ["we"] and tk.query_terms("how is it") == ["how", "is", "it"]
+    assert not tk.is_question("get user by id") and tk.is_question("where are users saved") and tk.is_question("one two three four")
+
+
+def test_strict_match_takes_prefixes_parts_and_queries_without_terms(spark):
+    d = spark.createDataFrame([("n", 1, "getUserById get user by id"), ("n", 2, "user list"), ("n", 3, "a_b other")], "namespace string, node_id long, content string")
+    index = search.postings(d)
+    found = lambda q: sorted(r.node_id for r in search.strict_match(index, q).collect())
+    assert found("use") == [1, 2] and found("userId") == [1] and found("user lis") == [2] and found("get-user") == [1] and found("a_b") == [3]
+    assert found("!!!") == found("") == []
+    assert search.bm25(index, [], search.corpus(d)).count() == 0 and [r.can_answer for r in search.answerable(index, [], search.corpus(d)).collect()] == [False]
+    assert [r.can_answer for r in search.answerable(index, ["user", "nowhere"], search.corpus(d)).collect()] == [True]
+
+
+def test_numbers_are_global_without_one_task(spark):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("id % 13 as a", "id as b")
+    from pyspark.sql import functions as F
+
+    got = scans.numbered(rows, [F.desc("a"), F.col("b")]).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: (-r.a, r.b))] == list(range(1, 1001))
+    assert scans.numbered(rows.limit(0), [F.col("a"), F.col("b")]).count() == 0
+
+
+def test_comments_bind_over_blank_and_passed_lines_only(spark):
+    n = spark.createDataFrame([(1, "f", 5), (2, "f", 20), (3, "f", 30), (4, "g", 2)], "node_id long, file_path string, start_line int")
+    c = spark.createDataFrame([(10, "f", 1, 2), (11, "f", 3, 3), (12, "f", 15, 16), (13, "f", 28, 28), (14, "f", 40, 41), (15, "g", 1, 1)], "comment_id long, file_path string, start_line int, end_line int")
+    code = spark.createDataFrame([("f", 5, 12), ("f", 18, 18), ("f", 20, 28), ("f", 30, 33)], "file_path string, line int, end_line int")
+    got = {r.node_id: r.comment_id for r in resolve.bind_comments(c, n, code).collect()}
+    assert got == {1: 10, 3: 13, 4: 15}  # code at 18 parts 12 from node 2; a comment on the last line of code binds
+
+
+def test_document_text_holds_file_names_languages_and_annotations(spark):
+    n = spark.createDataFrame([(1, "n", "function", "getUser", "app.getUser", "src/User.Store.py", 1, 2), (2, "n", "type", "T", "T", "Makefile", 1, 2)], "node_id long, namespace string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int")
+    tags = spark.createDataFrame([(1, "Reads.", "Slowly.", "second", 1), (1, "Reads.", "Slowly.", "first", 0), (2, None, "", None, 0)], "node_id long, summary string, context string, value string, position int")
+    got = {r.node_id: r.content for r in search.document_text(n, search.said(tags)).collect()}
+    assert got == {1: "getUser app.getUser function get user app user store py python Reads. Slowly. first second", 2: "T T type t makefile"}
+
+
 def test_identifier_parts(spark):
     from pyspark.sql import functions as F
 
