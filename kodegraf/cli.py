@@ -21,8 +21,16 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--exclude", action="append", default=[])
     b.add_argument("--fallback-calls", action="store_true")
     b.add_argument("--postprocess", choices=["full", "minimal", "none"], default="full")
-    for name in ("status", "namespaces", "lint"):
+    u = sub.add_parser("update", help="parse what changed and refresh what depends on it")
+    u.add_argument("path")
+    u.add_argument("--include", action="append", default=[])
+    u.add_argument("--exclude", action="append", default=[])
+    u.add_argument("--fallback-calls", action="store_true")
+    for name in ("status", "namespaces", "purge", "delete"):
         sub.add_parser(name)
+    n = sub.add_parser("lint", help="findings about comments; rules are CATEGORY=PATTERN of findings to pass over, * for any run")
+    n.add_argument("--rule", action="append", default=[])
+    n.add_argument("--strict", action="store_true", help="fail if there is a finding")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--path", default="")
@@ -47,10 +55,21 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | dict | None:
     e, ns = Engine(spark, a.store), a.namespace
     if a.command == "build":
         return e.build(a.path, ns, a.postprocess, includes=a.include, excludes=a.exclude, fallback_calls=a.fallback_calls)
+    if a.command == "update":
+        return e.update(a.path, ns, a.include, a.exclude, a.fallback_calls)
     if a.command == "docs":
         return e.write_docs(a.out, ns)
+    if a.command == "purge":
+        return e.purge_index(ns)
+    if a.command == "delete":
+        return e.delete_namespace(ns)
+    if a.command == "lint":
+        found = e.lint(ns, [tuple(r.split("=", 1)) for r in a.rule])
+        if a.strict and not found.isEmpty():
+            raise SystemExit(1)
+        return found
     return {
-        "status": lambda: e.list_graph_stats([ns]), "namespaces": e.list_namespaces, "lint": lambda: e.lint(ns),
+        "status": lambda: e.list_graph_stats([ns]), "namespaces": e.list_namespaces,
         "search": lambda: e.search(a.query, a.limit, a.offset, a.path, [ns]), "describe": lambda: e.describe(a.target, ns)[1],
         "query": lambda: e.query_graph(a.pattern, a.target, ns, a.limit, a.offset), "changes": lambda: e.detect_changes(a.repo, a.base, a.limit, a.offset, ns),
     }[a.command]()

@@ -37,30 +37,48 @@ def import_suffix(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.groupBy("import_path").agg(F.countDistinct("dir").alias("n"), F.min("file_path").alias("file_path"), F.max("depth").alias("depth")).where("n = 1").drop("n")
 
 
-def resolve_calls(calls: DataFrame, nodes: DataFrame, fallback: bool = False) -> DataFrame:
+def resolve_calls(calls: DataFrame, nodes: DataFrame, fallback: bool = False, implements: DataFrame | None = None) -> DataFrame:
     """Adds to_node_id and rule to calls (call_id, namespace, file_path, callee, receiver).
 
     The first rule that gives exactly one node decides: the method of the
-    caller's receiver, the qualified name, the caller's package and the bare
-    name, the bare name in the caller's file; then, if asked for, the first
-    callable of that name in place order, as a fallback.
+    caller's receiver, with implements (namespace, interface, implementer) the
+    method of the only type that implements the called interface, the qualified
+    name, an owner and name beside the caller or its type, the caller's package
+    and the bare name, the bare name in the caller's file; then, if asked for, the first callable of that name in place order, as
+    a fallback.
     """
     n = nodes.where(F.col("kind").isin(*CALLABLE)).select("namespace", "node_id", "name", "qualified_name", F.col("file_path").alias("path"), "start_line")
     bare = F.regexp_extract("callee", r"([^.:]+)$", 1)
     c = calls.withColumn("bare", bare).withColumn("own", F.concat_ws(".", "receiver", bare)).withColumn("peer", F.concat_ws(".", F.regexp_extract("receiver", r"^([^.]+)", 1), bare))
+    # A callee with an owner is looked for beside the caller, and beside the caller's own type.
+    owned = F.col("receiver").isNotNull() & F.col("callee").contains(".")
+    c = c.withColumn("beside", F.when(owned, F.concat_ws(".", "receiver", "callee"))).withColumn("near", F.when(owned, F.concat_ws(".", F.regexp_extract("receiver", r"^(.+)[.][^.]+$", 1), "callee")))
     by_qn = unique_values(n, ["namespace", "qualified_name"], "node_id")
     by_file = unique_values(n, ["namespace", "path", "name"], "node_id")
-    lookups = [("receiver", by_qn, {"qualified_name": "own"}), ("qualified", by_qn, {"qualified_name": "callee"}), ("package", by_qn, {"qualified_name": "peer"}), ("file", by_file, {"path": "file_path", "name": "bare"})]
+    lookups = [("receiver", by_qn, {"qualified_name": "own"}), ("qualified", by_qn, {"qualified_name": "callee"}), ("beside", by_qn, {"qualified_name": "beside"}), ("near", by_qn, {"qualified_name": "near"}), ("package", by_qn, {"qualified_name": "peer"}), ("file", by_file, {"path": "file_path", "name": "bare"})]
     if fallback:
         first = n.groupBy("namespace", "name").agg(F.min_by("node_id", F.struct("path", "start_line", "qualified_name", "node_id")).alias("node_id"))
         lookups.append(("fallback", first, {"name": "bare"}))
     for rule, table, on in lookups:
         c = c.join(table.withColumnsRenamed(on | {"node_id": f"__{rule}"}), ["namespace", *on.values()], "left")
     names = [rule for rule, _, _ in lookups]
+    if implements is not None:
+        c = c.join(_through(implements, n).withColumnRenamed("node_id", "__dispatch"), ["namespace", "callee"], "left")
+        names.insert(1, "dispatch")
     target, which = F.coalesce(*[F.col(f"__{r}") for r in names]), F.coalesce(*[F.when(F.col(f"__{r}").isNotNull(), r) for r in names])
     return c.withColumn("to_node_id", target).withColumn("rule", which).select(*calls.columns, "to_node_id", "rule")
 
 
+def _through(implements: DataFrame, methods: DataFrame) -> DataFrame:
+    """(namespace, callee, node_id): for interfaces, by qualified and by bare name, the method of the only implementer that has it. `.` and `::` part names alike."""
+    impl = implements.select("namespace", "interface", F.col("implementer").alias("owner")).distinct()
+    owned = methods.select("namespace", "node_id", F.regexp_replace("qualified_name", r"[.:]+[^.:]+$", "").alias("owner"), F.regexp_extract("qualified_name", r"([^.:]+)$", 1).alias("method"))
+    met = impl.join(owned, ["namespace", "owner"])
+    names = F.array_distinct(F.array(F.col("interface"), F.regexp_extract("interface", r"([^.:]+)$", 1)))
+    spoken = met.withColumn("name", F.explode(names)).withColumn("callee", F.explode(F.array(F.concat_ws(".", "name", "method"), F.concat_ws("::", "name", "method"))))
+    return unique_values(spoken, ["namespace", "callee"], "node_id")
+
+
 def interface_dispatch(calls: DataFrame, implements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(call_id, to_node_id): the method of the only type that implements the called interface; else the interface's own method."""
     owner = F.regexp_replace("callee", r"[.:]+[^.:]+$", "")

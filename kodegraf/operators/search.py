@@ -285,7 +285,7 @@ def promote_exact(rows: DataFrame, query: str) -> DataFrame:
 
 
 def note(answered: int, retrieved: int, n_reasons: int, offset: int) -> str | None:
-    """Why an answer is empty."""
+    """Why an answer is empty; nothing for one that is not."""
     if answered == 0 and retrieved == 0:
         return "nothing was retrieved" if n_reasons else "nothing was retrieved, and no reasons are recorded"
     if offset >= answered > 0:

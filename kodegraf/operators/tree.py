@@ -69,6 +69,14 @@ def rendered_docs(nodes: DataFrame) -> DataFrame:
     return decl.groupBy("file_path").agg(F.concat(F.lit("# "), F.first("file_path"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("markdown"))
 
 
+def docs_index(docs: DataFrame) -> DataFrame:
+    """index.md: a link to each document, by folder. One row, of as many lines as there are documents."""
+    entry = docs.select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("dir"), F.struct("file_path", F.concat(F.lit("- ["), "file_path", F.lit("]("), "file_path", F.lit(")")).alias("line")).alias("e"))
+    folder = entry.groupBy("dir").agg(F.concat(F.lit("## "), F.when(F.col("dir") == "", F.lit(".")).otherwise(F.col("dir")), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), "\n")).alias("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("dir", "text"))), lambda p: p["text"])
+    return folder.agg(F.lit("index.md").alias("file_path"), F.concat(F.lit("# Index\n\n"), F.array_join(parts, "\n\n"), F.lit("\n")).alias("markdown"))
+
+
 def anchor(name):
     """Markdown anchor: lower case, letters, digits and underscores, spaces as dashes."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), " ", "-"), "[^a-z0-9_-]", "")

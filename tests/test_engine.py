@@ -93,14 +93,116 @@ def test_answers(engine):
     hits = engine.search("Save").collect()
     assert hits[0].qualified_name == "store.Save" and "name" in hits[0].matched
     assert any("intent" in r.matched for r in engine.search("durable records").collect())
-    assert [r.status for r in engine.list_cross_refs("default").collect()] == ["resolved"]
+    # The first comment of a file speaks for the file too.
+    assert [(r.status, r.to_path) for r in engine.list_cross_refs("default").collect()] == [("resolved", "app/main.py")] * 2
     assert engine.list_graph_stats().first().namespace == "default"
     assert engine.list_flows().count() > 0
     assert engine.lint().count() > 0
     assert answer(engine, "/api/node?name=store.Save")[1][0]["kind"] == "function"
     assert answer(engine, "/api/nope")[0] == 404 and answer(engine, "/api/node")[0] == 400
     assert run(engine.spark, ["--store", engine.root, "status"]).count() == 1
-    assert suggest_tools("review the diff")[0] == "detect_changes"
+    assert suggest_tools("review the diff") == ["detect_changes", "get_affected_flows", "search"]
+    assert suggest_tools("Fix the bug") == ["search", "query_graph", "trace_flow"] and suggest_tools("") == ["detect_changes", "search", "query_graph"]
+    assert engine.search("!!!").count() == 0 and engine.search("").count() == 0
+    assert "store.Save" in names(engine.search("Kept simple purpose", include_weak=True))  # the comment's text is indexed
+    page = engine.search_answer("Save", 1)
+    assert page["files"][0]["file_path"] == "store/save.go" and not page["has_more"] and "note" not in page
+    assert engine.search_answer("nothinglikethis")["note"] == "nothing was retrieved"
+    assert engine.lint(ignored=[("unannotated", "*")]).where("category = 'unannotated'").count() == 0
+
+
+def test_generated_documents_are_read_pruned_and_listed(engine, tmp_path):
+    out = str(tmp_path / "docs")
+    engine.write_docs(out)
+    hand = engine.spark.createDataFrame([("notes.md", "by hand", "", False), ("old.go.md", "gone", "", True)], "file_path string, markdown string, hash string, generated boolean")
+    engine.spark.read.parquet(out).unionByName(hand).write.parquet(out + "2")
+    engine.write_docs(out + "2")
+    assert sorted(r.file_path for r in engine.spark.read.parquet(out + "2").collect()) == ["app/main.py.md", "app/util.py.md", "index.md", "notes.md", "store/save.go.md"]
+    assert "`store.Save`" in engine.get_doc_content(out, "store/save.go.md") and "[app/main.py.md](app/main.py.md)" in engine.get_doc_content(out, "./index.md")
+    for bad in ("../x.md", "x.txt"):
+        with pytest.raises(ValueError):
+            engine.get_doc_content(out, bad)
+    with pytest.raises(NotFound):
+        engine.get_doc_content(out, "none.md")
+
+
+TREE = {
+    "go.mod": "module ex.com/shop\n\ngo 1.22\n",
+    "store/types.go": "package store\n\ntype Saver interface {\n\tSave(x int) error\n}\n\ntype Base struct {\n\tn int\n}\n\ntype Disk struct {\n\tBase\n\tpath string\n}\n\nfunc (d *Disk) Save(x int) error {\n\treturn nil\n}\n",
+    "store/use.go": "package store\n\nvar _ Saver = (*Disk)(nil)\n\n// An aside.\nvar cache = map[int]int{}\n\nfunc Run(s Saver) {\n\tSaver.Save(s, 1)\n}\n",
+    "py/app/main.py": "# Starts all.\n# @intent begin here\nimport py.lib\n\n\n# Runs it.\n@wrapped\ndef main():\n    pass\n",
+    "py/lib/__init__.py": "",
+    "java/a/Shop.java": "package com.shop;\n\npublic class Shop extends\n    Base<Item> implements Open,\n    Closed {\n  private Till till;\n  void run() {\n    till.count(1);\n  }\n}\n",
+    "java/a/Till.java": "package com.shop;\n\npublic class Till {\n  public int count(int x) {\n    return x;\n  }\n}\n",
+    "web/package.json": '{"name": "@shop/web"}',
+    "package.json": '{"name": "shop", "workspaces": ["web"]}',
+    "web/src/ui/page.ts": "import { x } from './x'\nexport class Page extends Base implements View {\n}\n",
+    "tsconfig.json": '{"compilerOptions": {"paths": {"@ui/*": ["web/src/*"]}}} // comment',
+    "rust/s.rs": "use std::{io::{self, Read}, fmt};\n\npub trait Speak {\n    fn say(&self);\n}\n\npub struct Dog {\n}\n\nimpl Speak for Dog {\n    fn say(&self) {\n    }\n}\n\nfn go(d: Dog) {\n    Speak::say(&d);\n}\n",
+}
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    src = tmp_path_factory.mktemp("shop")
+    for p, text in TREE.items():
+        (src / p).parent.mkdir(exist_ok=True, parents=True)
+        (src / p).write_text(text)
+    e = Engine(spark, str(tmp_path_factory.mktemp("graph")))
+    assert e.build(str(src), "shop")["status"] == "ok"
+    return e, src
+
+
+def pairs(e, kind):
+    by_id = {r.node_id: r.qualified_name for r in e.table("nodes", ["shop"]).collect()}
+    return {(by_id.get(r.from_node_id), by_id.get(r.to_node_id)) for r in e.table("edges", ["shop"]).where(f"kind = '{kind}'").collect() if r.from_node_id and r.to_node_id}
+
+
+def test_packages_of_all_languages(shop):
+    e, _ = shop
+    got = {(r.qualified_name, r.file_path) for r in e.table("nodes", ["shop"]).where("kind = 'package'").collect()}
+    assert got == {("ex.com/shop/store", "store"), ("py.app", "py/app"), ("py.lib", "py/lib"), ("com.shop", "java/a"), ("@shop/web/src/ui", "web/src/ui"), ("@ui/ui", "web/src/ui")}
+    assert {("ex.com/shop/store", "store/use.go"), ("com.shop", "java/a/Till.java"), ("@ui/ui", "web/src/ui/page.ts")} <= pairs(e, "contains")
+    assert ("py/app/main.py", "py.lib") in pairs(e, "imports_from")
+
+
+def test_relations_of_types_and_dispatch(shop):
+    e, _ = shop
+    assert {("store.Disk", "store.Saver"), ("Dog", "Speak")} <= pairs(e, "implements") and ("store.Disk", "store.Base") in pairs(e, "inherits")
+    edges = {(r.kind, r.source_text, r.target_text) for r in e.table("edges", ["shop"]).collect()}
+    assert {("inherits", "com.shop.Shop", "Base"), ("implements", "com.shop.Shop", "Open"), ("implements", "com.shop.Shop", "Closed"), ("inherits", "Page", "Base"), ("implements", "Page", "View")} <= edges
+    assert {("imports_from", None, x) for x in ("std::io", "std::io::Read", "std::fmt")} <= edges
+    # By the type of a field, through the interface's only implementer, and through a trait's.
+    assert {("com.shop.Shop.run", "com.shop.Till.count"), ("store.Run", "store.Disk.Save"), ("go", "Dog.say")} <= pairs(e, "calls")
+
+
+def test_comments_above_other_code_bind_to_nothing(shop):
+    e, _ = shop
+    by_id = {r.node_id: r.qualified_name for r in e.table("nodes", ["shop"]).collect()}
+    assert {(by_id[r.node_id], r.summary) for r in e.table("tags", ["shop"]).collect()} == {("py.app.main.main", "Runs it."), ("py/app/main.py", "Starts all."), ("store/use.go", "An aside.")}
+
+
+def test_update_refreshes_what_is_derived(shop):
+    e, src = shop
+    assert e.search("Flush", namespaces=["shop"]).count() == 0
+    (src / "store" / "flush.go").write_text("package store\n\n// Empties the buffers.\n// @intent never lose a record\nfunc Flush(d *Disk) {\n\td.Save(1)\n}\n")
+    got = e.update(str(src), "shop")
+    assert (got["added"], got["modified"], got["deleted"]) == (1, 0, 0)
+    assert e.search("Flush", namespaces=["shop"]).first().qualified_name == "store.Flush"
+    assert "store.Flush" in names(e.search("lose record", namespaces=["shop"]))
+    assert "Flush" in {r.name for r in e.list_flows(namespace="shop", limit=100).collect()}
+    assert ("ex.com/shop/store", "store/flush.go") in pairs(e, "contains") and ("store.Disk", "store.Saver") in pairs(e, "implements")
+    (src / "store" / "flush.go").unlink()
+    assert e.update(str(src), "shop")["deleted"] == 1
+    assert e.search("Flush", namespaces=["shop"]).count() == 0
+    # As a build from scratch gives it.
+    fresh = Engine(e.spark, e.root + "-fresh")
+    fresh.build(str(src), "shop")
+    for t in ("nodes", "edges", "documents", "postings", "reasons", "flow_members"):
+        a, b = (sorted(map(str, x.table(t, ["shop"]).collect())) for x in (e, fresh))
+        assert a == b, t
+    e.purge_index("shop")
+    assert e.search("Save", namespaces=["shop"]).count() == 0
 
 
 def test_update_parses_what_changed(spark, tmp_path):
