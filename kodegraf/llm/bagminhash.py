@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kodegraf.llm.common import U, map_texts, mix64, saved, texts_of
+from kodegraf.llm.common import U, clearing, map_texts, mix64, saved, texts_of
 
 SHINGLE = 5
 #: A pair at the similarity of 0.8 shares a band with a probability of 0.99997.
@@ -312,6 +312,7 @@ def near_pairs(at: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return side.groupBy("band", "key", "x", "y").applyInArrow(_near_pairs, "a long, b long")
 
 
+@clearing
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each component, by minimum labels over neighbours and label jumps."""
     e = saved(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
@@ -321,11 +322,12 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels.id == near.x, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("far"))
         new = saved(step.join(jump, "to", "left").select("id", "label", F.least("to", F.coalesce("far", "to")).alias("to")), "labels")
+        labels = new.select("id", F.col("to").alias("label"))
         if new.where("to < label").isEmpty():
             return labels
-        labels = new.select("id", F.col("to").alias("label"))
 
 
+@clearing
 def node_classes(sk: DataFrame, docs: DataFrame) -> DataFrame:
     """d1, d2, rep (missing, doc_id, k1, k2 of the first row), n_rows and label of each node; label is one id of the class."""
     words = sk.where("w > 0")

@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder named by spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a folder of this machine is made.
+    Only where that is unset on a local master, as in tests, a folder of this
+    machine is made; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         base = _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="kodegraf-"))
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths written inside the functions that clear up after themselves, innermost last.
+_written: list[list[str]] = []
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, what)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clearing(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is what it saves last: all else that it saved is deleted when that is written."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        _written.append([])
+        try:
+            return f(*args, **kwargs)
+        finally:
+            *gone, last = _written.pop() or [None]
+            if _written and last:
+                _written[-1].append(last)
+            jvm = SparkSession.active()._jvm
+            conf = SparkSession.active()._jsc.hadoopConfiguration()
+            for path in gone:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+
+    return run
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about BATCH_BYTES of text."""
     for b in it:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -728,3 +729,15 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     for name in list(seen)[:-1]:
         assert seen[name].columns.tolist() == ["doc_id", "text", "lang", "source", "n_chars"]
     assert cp.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_intermediate_tables_are_cleared(spark, tmp_path):
+    from kodegraf.llm.common import work_path
+
+    folder = os.path.dirname(work_path(spark, "x").removeprefix("file:"))
+    print(folder)
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    got = bagminhash.near_duplicates(frame(spark, copies(random.Random(2), 4)))
+    assert got.count() > 0
+    assert sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before) == ["classed", "classed", "classes", "sketches"]
