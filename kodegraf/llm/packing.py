@@ -26,7 +26,7 @@ from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,19 +250,16 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # Runs of ranks: their number follows the number of lengths, not of rows.
     slots = cut.sparkSession.sparkContext.broadcast(_slots(plan(histogram, capacity)))
-    columns = [*cut.columns, "rank"]
 
-    def run(it):
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length, rank):
         keys, first, offset = slots.value
-        for b in it:
-            rank, length = (b.column(x).to_numpy(zero_copy_only=False) for x in ("rank", "length"))
-            want = length << 44 | rank
-            i = np.searchsorted(keys, want, side="right") - 1
-            out = [*b.columns[:-1], pa.array(first[i] + want - keys[i]), pa.array(offset[i])] if b.num_rows else [*b.columns[:-1], pa.array([], pa.int64()), pa.array([], pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns[:-1], "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked(cut).select(*columns).mapInArrow(run, schema)
+        want = length.to_numpy() << 44 | rank.to_numpy()
+        i = np.searchsorted(keys, want, side="right") - 1
+        return pd.DataFrame({"sequence_id": first[i] + want - keys[i], "offset": offset[i]} if len(want) else {"sequence_id": [], "offset": []}).astype("int64")
+
+    # Only two numbers of a piece go through Python; its ids stay where they are.
+    return ranked(cut).withColumn("place", place("length", "rank")).select(*cut.columns, "place.sequence_id", "place.offset")
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
