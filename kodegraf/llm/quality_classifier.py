@@ -26,6 +26,7 @@ from __future__ import annotations
 import operator
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ from kodegraf.llm.common import batches, crc_fold, map_texts, saved, texts_of
 
 #: The classifier is fitted on at most so many labelled rows, those of the smallest hash of doc_id.
 TRAIN_ROWS = 4000
+#: Tasks that count the sample.
+SAMPLE_TASKS = 4
 DIM = 64
 NONZERO = 6
 REACH = 2
@@ -125,7 +128,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
-def context_sums(token_lists: list[list[str]], words: dict[str, int], shapes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def context_sums(token_lists: Iterable[list[str]], words: dict[str, int], shapes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word and shape the sum of the index vectors around it, as whole numbers: in units of an entry of an index vector."""
     unit = np.sqrt(NONZERO)
     ternary = lambda names: np.rint(np.stack([index_vector(t) for t in names]) * unit).astype(np.int32) if names else np.zeros((0, DIM), np.int32)
@@ -180,17 +183,17 @@ def token_model(rows: DataFrame) -> Model:
     def sums(it):
         w, s = np.zeros((len(words), DIM), np.int64), np.zeros((len(shapes), DIM), np.int64)
         for b in batches(it):
-            x, y = context_sums([TOKEN.findall(t) for t in texts_of(b)], words, shapes)
+            x, y = context_sums((TOKEN.findall(t) for t in texts_of(b)), words, shapes)
             w += x
             s += y
         both = np.vstack([w, s])
         on = np.flatnonzero(both.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(list(both[on]), pa.list_(pa.int64()))], names=["at", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([x.tobytes() for x in both[on].astype("<i8")], pa.binary())], names=["at", "v"])
 
-    # A row a word, and one task or a few, as the sample is small.
+    # From each of SAMPLE_TASKS tasks a row a word.
     both = np.zeros((len(words) + len(shapes), DIM), np.int64)
-    for r in rows.select("text").coalesce(4).mapInArrow(sums, "at long, v array<long>").collect():
-        both[r["at"]] += np.array(r.v)
+    for r in rows.select("text").coalesce(SAMPLE_TASKS).mapInArrow(sums, "at long, v binary").collect():
+        both[r["at"]] += np.frombuffer(r.v, "<i8")
     wv, sv = token_vectors(words, shapes, both[: len(words)], both[len(words) :])
     return Model(words, shapes, wv, sv, np.zeros(0), np.ones(0), np.zeros(0), np.zeros(0), np.zeros(0), 0.0, 1.0)
 
@@ -240,7 +243,7 @@ def fit_network(model: Model, x: np.ndarray, y: np.ndarray, epochs: int = 60, se
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier, from at most TRAIN_ROWS labelled rows."""
-    rows = saved(labelled_sample(docs, labels, "quality", TRAIN_ROWS), "labelled")
+    rows = saved(labelled_sample(docs, labels, "quality", TRAIN_ROWS).repartition(SAMPLE_TASKS), "labelled")
     model = token_model(rows)
     held = rows.sparkSession.sparkContext.broadcast(model)
 

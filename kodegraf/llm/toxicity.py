@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kodegraf.llm.common import batches, crc_fold, map_texts, sampled, saved, texts_of
-from kodegraf.llm.quality_classifier import labelled_sample
+from kodegraf.llm.quality_classifier import SAMPLE_TASKS, labelled_sample
 
 #: Bounds of the samples on which the classifiers are fitted.
 POSITIVE_ROWS = 2000
@@ -172,7 +172,7 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, decay: fl
 def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, models: int = 3) -> Model:
     """From the texts of confirmed toxic and of unlabelled rows."""
     h = F.xxhash64("text").alias("h")
-    rows = saved(positive.select(F.lit(True).alias("p"), h, "text").unionByName(unlabelled.select(F.lit(False).alias("p"), h, "text")), "sampled")
+    rows = saved(positive.select(F.lit(True).alias("p"), h, "text").unionByName(unlabelled.select(F.lit(False).alias("p"), h, "text")).repartition(SAMPLE_TASKS), "sampled")
     sizes = {r.p: r.n for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n, k = sizes.get(True, 0), sizes.get(False, 0)
     if not n or not k or not 0 < prior < 1:
