@@ -21,6 +21,8 @@ repeated rows get pieces of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -37,11 +39,14 @@ CAPACITY = 2048
 GRID = 16
 MOST_IN_PATTERN = 4
 RANK_BUCKETS = 1024
-_CACHE_MAX = 1_000_000
+#: Words whose ids are kept, in each of two generations: the older one goes when the newer is full, but for words met again.
+_CACHE_MAX = 350_000
 #: Texts of these characters only are normalised by lower case alone, so that words can be looked up.
 _PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u017f]*")
-#: The tokenizer's own pattern (fixed value).
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN_CHARS = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180))]
+_CLASS = {k: re.escape("".join(c for c in _PLAIN_CHARS if unicodedata.category(c)[0] == k and c == c.lower())) for k in "LN"}
+#: The tokenizer's own pattern (fixed value), with letters and numbers spelled out, as it need only hold for such texts in lower case.
+_WORD = re.compile(rf"[{_CLASS['L']}]+|'(?:s|t|re|ve|m|ll|d)|[{_CLASS['N']}]|[^\s{_CLASS['L']}{_CLASS['N']}]+")
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,6 +63,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,9 +71,9 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return self._ids(text) + b"\0\0\0\0"
-        known = self.known
-        if len(known) > _CACHE_MAX:
-            known.clear()
+        if len(self.known) > _CACHE_MAX:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         words = _WORD.findall(text.lower())
         found = list(map(known.get, words))
         if None in found:
@@ -75,7 +81,7 @@ class Encoder:
                 if x is None:
                     w = words[i]
                     if w not in known:
-                        known[w] = self._ids(w)
+                        known[w] = older.get(w) or self._ids(w)
                     found[i] = known[w]
         found.append(b"\0\0\0\0")
         return b"".join(found)
