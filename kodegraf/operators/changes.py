@@ -54,7 +54,8 @@ def top_risks(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
 
 
 def changed_ids(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    return hit_nodes(hunks, nodes).select("node_id").orderBy("node_id")
+    ranges = hunks.select("file_path", "start_line", "end_line").distinct()  # how often a range is hit doesn't matter
+    return hit_nodes(ranges, nodes).select("node_id").orderBy("node_id")
 
 
 _HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")

@@ -125,6 +125,14 @@ def test_rebuilt_flows_take_few_turns(spark, monkeypatch):
     assert deepest >= 7 and "level" not in written
 
 
+@pytest.mark.parametrize("name", ["affected_flows"])
+def test_flow_queries_take_few_turns_and_match_sql(spark, duck, name, monkeypatch):
+    written, save = [], traverse.saved
+    monkeypatch.setattr(traverse, "saved", lambda df, what="step": written.append(what) or save(df, what))
+    test_query_matches_sql(spark, duck, name)
+    assert "closure" in written and "level" not in written
+
+
 @pytest.mark.parametrize("entries", [(90, 91, 92), tuple(range(90, 130))])
 def test_reach_equals_brute_force(spark, entries):
     """Few starts are followed by level, many by the sets of called nodes; cycles, repeated edges, other kinds and dead ends included."""
