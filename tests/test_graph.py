@@ -125,7 +125,7 @@ def test_rebuilt_flows_take_few_turns(spark, monkeypatch):
     assert deepest >= 7 and "level" not in written
 
 
-@pytest.mark.parametrize("name", ["affected_flows"])
+@pytest.mark.parametrize("name", ["affected_flows", "flows_page", "flows_summary", "top_members"])
 def test_flow_queries_take_few_turns_and_match_sql(spark, duck, name, monkeypatch):
     written, save = [], traverse.saved
     monkeypatch.setattr(traverse, "saved", lambda df, what="step": written.append(what) or save(df, what))
