@@ -25,7 +25,8 @@ The plan, none of which gathers a group in one task or the driver:
    no overlap exceeds the sum of the smaller counts of each cell. Only pairs
    whose bound reaches the similarity leave the block and are verified on whole
    texts, so no link that a band proposes is lost and no group emits its pairs;
-5. classes are merged by distributed minimum-label rounds.
+5. classes are merged by distributed minimum-label rounds; up to FEW_LINKS
+   links, two numbers each, are merged at once in the driver instead.
 
 Edge cases: null and empty texts, and such of white space only, have no window
 and form classes of their own, one per row. Rows that share a doc_id are one
@@ -58,6 +59,8 @@ NUM, DEN = 4, 5
 LEADER_ROUNDS = 3
 #: Nodes of a block of a bucket, on average: a task compares two blocks at a time.
 BLOCK_NODES = 512
+#: Links that are merged in the driver: of more, none is collected.
+FEW_LINKS = 1 << 16
 #: Cells of the counts of windows, by the weight that a text has at least.
 CELLS = ((0, 256), (1024, 1024), (8192, 4096))
 #: Bytes of text hashed at a time.
@@ -312,9 +315,31 @@ def near_pairs(at: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return side.groupBy("band", "key", "x", "y").applyInArrow(_near_pairs, "a long, b long")
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of links (a, b), sorted, and the smallest id of the component of each."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
+    return ids, ids[root]
+
+
 @clearing
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each component, by minimum labels over neighbours and label jumps."""
+def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(id, label): the smallest id of each component.
+
+    More than `few` links are merged by minimum labels over neighbours and label
+    jumps: each round is some jobs of many tasks, whose records the driver keeps.
+    """
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    if edges.count() <= few:
+        links = edges.toArrow()
+        ids, label = merged(*(links.column(k).to_numpy() for k in ("a", "b")))
+        return saved(edges.sparkSession.createDataFrame(pa.table({"id": ids.astype(np.int64), "label": label.astype(np.int64)})), "labels")
     e = saved(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
     labels = saved(e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "id"), "labels")
     while True:

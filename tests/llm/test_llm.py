@@ -230,6 +230,22 @@ def test_cell_counts_never_bound_below_the_overlap():
     assert all(m >= bagminhash.overlap(bags[a], bags[b])[0] for m, a, b in zip(most, i, j))
 
 
+def test_few_links_take_one_table_and_classes_as_by_rounds(spark, monkeypatch):
+    written, save = [], bagminhash.saved
+    monkeypatch.setattr(bagminhash, "saved", lambda df, what: written.append(what) or save(df, what))
+    rng = random.Random(5)
+    path = rng.sample(range(1000, 1060), 60)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + list(zip(path, path[1:])) + [(2**62, -(2**62)), (7, 7)]
+    for some in (links, []):
+        df = spark.createDataFrame(some, "a long, b long")
+        written.clear()
+        got = bagminhash.components(df)
+        assert written == ["labels"]
+        by_rounds = bagminhash.components(df, few=-1)
+        assert len(written) > 3
+        assert got.dtypes == by_rounds.dtypes and sorted(got.collect()) == sorted(by_rounds.collect())
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
